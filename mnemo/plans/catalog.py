@@ -38,6 +38,7 @@ def register(name: str, operators: str, sql: str | None = None):
 def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
     from . import (  # noqa: F401
+        q_bleu,
         q_relational,
         q_scores,
     )
