@@ -141,3 +141,28 @@ def average_by_position(df: DataFrame, pos_col: str, value_col: str, max_pos: in
 def ratio(num: Column, den: Column) -> Column:
     """NULL instead of a division error on an empty denominator."""
     return F.try_divide(num.cast("double"), den.cast("double"))
+
+
+def global_cumsum(df: DataFrame, order, value: str, rank_col: str = "rank", cum_col: str = "cum",
+                  partitions: int | None = None) -> DataFrame:
+    """Exact running sum (and row number) over a total order, partition-parallel.
+
+    Same scheme as ``global_rank``: range partitions, a running sum inside each partition
+    (a window over one range partition, bounded by the partition size) plus the totals of all
+    earlier partitions (one row per partition, broadcast).
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    oc = _cols(order)
+    ranged = df.repartitionByRange(n, *oc).withColumn("_pid", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    w = Window.partitionBy("_pid").orderBy(*oc).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy(*oc))).withColumn(
+        "_lc", F.sum(value).over(w))
+    totals = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_on"),
+                            F.coalesce(F.sum("_s").over(prior), F.lit(0.0)).alias("_os"))
+    out = local.join(F.broadcast(offsets), "_pid")
+    return out.withColumn(rank_col, F.col("_on") + F.col("_lr")).withColumn(cum_col, F.col("_os") + F.col("_lc")).drop(
+        "_pid", "_lr", "_lc", "_on", "_os")

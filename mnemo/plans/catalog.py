@@ -39,6 +39,7 @@ def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
     from . import (  # noqa: F401
         q_bleu,
+        q_circuits,
         q_flow,
         q_patterns,
         q_relational,
