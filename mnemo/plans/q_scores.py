@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.memorization import memorization_scores, score_summary
+from ..functions.tokens import concat_sequences, detokenize
+from ..operators.completion import attach_completions, train_next_token
+from ..operators.memorization import memorization_scores, prompt_table, score_summary, top_scores
+from ..operators.relational import high_scores, low_scores, perfect_scores
 from .catalog import register
-from .sqlparts import scores_ctes
+from .sqlparts import model_ctes, scores_ctes, tokens_sql
 from .tables import table
 
 # Parameters shared by the score queries (reference defaults are 50/50; the corpus here is
@@ -42,3 +45,75 @@ def scores_summary_by_split(spark: SparkSession, sf: str) -> DataFrame:
     s = score_summary(scored(spark, sf), by=["in_training"])
     return s.select("in_training", "n", F.round("mean_score", 6).alias("mean_score"),
                     F.round("median_score", 6).alias("median_score"))
+
+
+def _scores_sql(select: str) -> str:
+    return f"WITH RECURSIVE {scores_ctes(P, G, K)} {select}"
+
+
+@register(
+    "scores_top10",
+    "O60 O61",
+    _scores_sql("SELECT doc_id, memorization_score FROM scores ORDER BY memorization_score DESC, doc_id LIMIT 10"),
+)
+def scores_top10(spark: SparkSession, sf: str) -> DataFrame:
+    return top_scores(scored(spark, sf), 10, cols=()).select("doc_id", "memorization_score")
+
+
+@register("scores_filter_high", "O16",
+          _scores_sql("SELECT doc_id, memorization_score FROM scores WHERE memorization_score >= 0.75"))
+def scores_filter_high(spark: SparkSession, sf: str) -> DataFrame:
+    return high_scores(scored(spark, sf), 0.75).select("doc_id", "memorization_score")
+
+
+@register("scores_filter_low", "O17", _scores_sql("SELECT doc_id FROM scores WHERE memorization_score <= 0.0"))
+def scores_filter_low(spark: SparkSession, sf: str) -> DataFrame:
+    return low_scores(scored(spark, sf), 0.0).select("doc_id")
+
+
+@register("scores_perfect", "O18", _scores_sql("SELECT doc_id FROM scores WHERE memorization_score = 1.0"))
+def scores_perfect(spark: SparkSession, sf: str) -> DataFrame:
+    return perfect_scores(scored(spark, sf), "memorization_score").select("doc_id")
+
+
+@register(
+    "completions_joined",
+    "O29 O30 O28",
+    _scores_sql("SELECT doc_id, array_to_string(completion, ' ') AS decoded_completion, "
+                "array_to_string(true_completion, ' ') AS decoded_true_completion FROM scores"),
+)
+def completions_joined(spark: SparkSession, sf: str) -> DataFrame:
+    s = scored(spark, sf)
+    comp = s.select("doc_id", "decoded_completion")
+    base = s.select("doc_id", "decoded_true_completion")
+    return attach_completions(base, comp, "doc_id", "decoded_completion").select(
+        "doc_id", "decoded_completion", "decoded_true_completion")
+
+
+@register(
+    "prompt_split",
+    "O26 O27 O28 O32",
+    f"""WITH d AS (SELECT doc_id, {tokens_sql('text')} AS toks FROM documents)
+SELECT doc_id, array_to_string(list_slice(toks, 1, {P}), ' ') AS decoded_context,
+       array_to_string(list_slice(toks, {P} + 1, {P} + {G}), ' ') AS decoded_true_completion,
+       len(list_concat(list_slice(toks, 1, {P}), list_slice(toks, {P} + 1, {P} + {G}))) AS whole_len
+FROM d WHERE len(toks) >= {P} + {G}""",
+)
+def prompt_split(spark: SparkSession, sf: str) -> DataFrame:
+    p = prompt_table(table(spark, sf, "documents"), P, G)
+    return p.select("doc_id", detokenize("context").alias("decoded_context"),
+                    detokenize("true_completion").alias("decoded_true_completion"),
+                    F.size(concat_sequences("context", "true_completion")).alias("whole_len"))
+
+
+@register(
+    "ngram_model",
+    "O29",
+    f"""WITH {model_ctes(K)}
+SELECT len(string_split(m.state, ' ')) AS ord, count(*) AS n_states, sum(g.cnt)::BIGINT AS total_next
+FROM model m JOIN grams g ON g.state = m.state AND g.nxt = m.nxt GROUP BY ALL""",
+)
+def ngram_model(spark: SparkSession, sf: str) -> DataFrame:
+    m = train_next_token(training_docs(spark, sf), K)
+    return m.groupBy(F.size(F.split("state", " ")).alias("ord")).agg(
+        F.count(F.lit(1)).alias("n_states"), F.sum("cnt").alias("total_next"))
