@@ -41,6 +41,7 @@ def load_all() -> dict[str, Query]:
         q_bleu,
         q_circuits,
         q_flow,
+        q_io,
         q_match,
         q_patterns,
         q_relational,
