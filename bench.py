@@ -24,11 +24,8 @@ HEADLINE = [
     "contiguous_shards",
     "train_test_split",
     "structure_patterns",
-    "seq_numbers",
     "min_max_normalize",
     "contributions_residual",
-    "best_tokens",
-    "greedy_match",
     "smallest_prefix",
 ]
 
