@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality_rules
+from . import bpe, pii, quality_rules, sharding, url_reputation
 from .textops import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, want=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+
+
+@query("op7_url_filters", url_reputation.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return url_reputation.judged(pages, labels, url_reputation.RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_sharding")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.interleaved(table(spark, sf_dir, "documents"), 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
