@@ -1,11 +1,11 @@
 """Toxicity: a linear classifier of character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Features are the byte n-grams (3 to 5, ASCII lower case, white space as one kind of byte) of a whole
+Features are the byte n-grams (4 to 8, ASCII lower case, white space as one kind of byte) of a whole
 text, hashed to ``SLOTS``, present or absent. On a sample of at most ``TRAIN_ROWS`` labelled texts,
 the log ratio of each feature's (smoothed) shares among toxic and other texts scales it; of the
 ``KEPT`` features whose shares differ most surely a logistic regression with L2 penalty is fitted. The
 sample and the fit are bounded by these two parameters and run in one task; scoring covers every
-text, with a table of ``SLOTS`` weights (1 MB) sent to the tasks.
+text, with a table of ``SLOTS`` weights (4 MB) sent to the tasks.
 
 Null and empty texts have no features: their score is the bias alone. Equal texts score equally.
 Without labelled rows, or with one class only, every score is the smoothed share of toxic labels.
@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from .learn import labelled_sample, logistic, sigmoid
 from .textops import blocks, utf8
 
-ORDERS = (3, 4, 5)
-SLOTS = 1 << 18
-TRAIN_ROWS = 6000
-KEPT = 1 << 13
+ORDERS = (4, 5, 6, 7, 8)
+SLOTS = 1 << 20
+TRAIN_ROWS = 8000
+KEPT = 1 << 14
 SMOOTHING = 1.0
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -45,7 +45,7 @@ def features(texts: pa.Array, weight: np.ndarray | None = None) -> tuple[np.ndar
     for k in range(max(ORDERS)):
         acc[: len(raw) - k] += value[k:] * np.uint32(pow(0x85EBCA6B, k + 1, 1 << 32))
         if k + 1 in ORDERS:
-            slot = ((acc ^ (acc >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(14)
+            slot = ((acc ^ (acc >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(12)
             ok = left > k
             if weight is not None:
                 ok &= weight[slot] != 0
@@ -68,15 +68,18 @@ def train(texts: list[str], y: np.ndarray) -> Model:
     if n1 == 0 or n1 == n:
         p = (n1 + 1) / (n + 2)
         return Model(weight, float(np.log(p / (1 - p))))
-    rows, slots, at = [], [], 0
-    for block in blocks(iter([pa.record_batch({"text": pa.array(texts, pa.string())})])):
-        r, s = features(block.column(0))
-        rows.append((r + at).astype(np.int32))
-        slots.append(s.astype(np.int32))
-        at += block.num_rows
-    row, slot = np.concatenate(rows), np.concatenate(slots)
-    pos = np.bincount(slot[y[row] == 1], minlength=SLOTS).astype(float)
-    neg = np.bincount(slot[y[row] == 0], minlength=SLOTS).astype(float)
+    def each(weight: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = 0
+        for block in blocks(iter([pa.record_batch({"text": pa.array(texts, pa.string())})])):
+            row, slot = features(block.column(0), weight)
+            yield row + at, slot
+            at += block.num_rows
+
+    pos, neg = np.zeros(SLOTS), np.zeros(SLOTS)
+    for row, slot in each():
+        toxic = y[row] == 1
+        pos += np.bincount(slot[toxic], minlength=SLOTS)
+        neg += np.bincount(slot[~toxic], minlength=SLOTS)
     ratio = np.log((pos + SMOOTHING) / (pos + SMOOTHING).sum()) - np.log((neg + SMOOTHING) / (neg + SMOOTHING).sum())
     n0 = n - n1
     share = (pos + neg) / n
@@ -86,11 +89,12 @@ def train(texts: list[str], y: np.ndarray) -> Model:
     kept = kept[surely[kept] > 0]
     number = np.full(SLOTS, -1, np.int64)
     number[kept] = np.arange(len(kept))
-    use = number[slot] >= 0
-    row, col = row[use].astype(np.int64), number[slot[use]]
+    found = list(each((number >= 0).astype(np.float32)))
+    row = np.concatenate([r for r, _ in found])
+    col = number[np.concatenate([c for _, c in found])]
     value = ratio[kept][col]
     w, bias = logistic(lambda w: np.bincount(row, value * w[col], n), lambda g: np.bincount(col, value * g[row], len(kept)),
-                       y.astype(float), len(kept), l2=0.002)
+                       y.astype(float), len(kept), l2=0.0005)
     weight[kept] = w * ratio[kept]
     return Model(weight, bias)
 
