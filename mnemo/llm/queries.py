@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, learn, pii, quality_rules, rule_ensemble, sharding, toxicity, url_reputation, warc
+from . import bpe, learn, ngram_join, pii, quality_rules, rule_ensemble, sharding, toxicity, url_reputation, warc
 from .textops import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = rule_ensemble.fit(docs.select("doc_id", "text"), known)
     out = rule_ensemble.scored(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query("op10_ngram_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.joined(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
