@@ -5,12 +5,14 @@ are linked when the Jaccard similarity of their sets reaches the threshold exact
 
 1. Every text becomes its set of n-word shingles (64-bit hashes). Equal sets are one class, known by
    128 bits of its set; only one text of each class goes on.
-2. Shingles are ordered globally: by how often they occur in the corpus (a table of ``SLOTS`` hashed
-   counts, over all classes that a task meets, put together by chunk), then by hash. The order only
-   decides how much work there is, never the result.
+2. Shingles are ordered globally, rare ones first: by an estimate of how often they occur in the corpus,
+   then by hash. The estimate is the larger of two, both from tables of ``SLOTS`` hashed counts over
+   all classes: what the frequencies of its words make one expect, and how far the count of the
+   shingle's own slot stands out. The order only decides how much work there is, never the result.
 3. Sets as similar as asked share a shingle among the first ``size - ceil(t * size) + 1`` of both
-   (prefix filter). The first class met of each such shingle leads its group; a class is in the cluster
-   of every leader it got this way, so any two linked classes meet in a cluster.
+   (prefix filter), and their sizes are in one or two neighbouring bands. The least class of each shingle
+   and band leads its group; a class is in the cluster of every leader it got this way, so any two
+   linked classes meet in a cluster.
 4. In a cluster the ordered sets are stored in a trie, commonest shingles first, so near copies
    share long paths. Each set walks the trie; partial overlaps are carried down and so shared, and a
    subtree is pruned when even all that remains of the shortest and the longest set below could
@@ -32,6 +34,7 @@ each get a row. Null ids are least in no component of several documents with ids
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -68,57 +71,72 @@ def prefix_size(size: int, num: int, den: int) -> int:
     return size - -(-size * num // den) + 1
 
 
-def _slots(s: np.ndarray) -> np.ndarray:
-    return (s >> _U(44)).astype(np.int64)
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> _U(44)).astype(np.int64)
 
 
-def classes(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """Written rows of two kinds: (key, size, sig) of every document, and chunks of each task's shingle counts."""
+_MADE = ["key", "size", "sig", "chunk", "counts"]
+
+
+def classes(docs: DataFrame, n: int) -> DataFrame:
+    """Written rows of two kinds: (key, size, sig) of every document, and chunks of each task's counts (words, then shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, met = np.zeros(SLOTS, np.int64), set()
+        count, met = np.zeros(2 * SLOTS, np.int64), set()
         for b in blocks(batches, "text"):
+            w = words(b.column("text"), True)
+            h, bounds = shingles(w, n)
             size, sig = [], []
-            for s in sets(b.column("text"), n):
+            for d, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                s = np.unique(h[lo:hi])
                 size.append(len(s))
                 sig.append(signature(s) if len(s) else None)
                 if len(s) and sig[-1] not in met:
                     met.add(sig[-1])
-                    count += np.bincount(_slots(s), minlength=SLOTS) if len(s) > SLOTS else 0
-                    if len(s) <= SLOTS:
-                        np.add.at(count, _slots(s), 1)
+                    np.add.at(count, _slots(w.hash[w.first[d] : w.first[d + 1]]), 1)
+                    np.add.at(count, SLOTS + _slots(s), 1)
             k = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                                             names=["key", "size", "sig", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=_MADE)
         if met:
-            parts = [zlib.compress(count[i : i + _CHUNK].astype("<i8").tobytes(), 1) for i in range(0, SLOTS, _CHUNK)]
+            parts = [zlib.compress(count[i : i + _CHUNK].astype("<i8").tobytes(), 1) for i in range(0, 2 * SLOTS, _CHUNK)]
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())],
-                                             names=["key", "size", "sig", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=_MADE)
 
-    return written(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
-        run, "key long, size long, sig binary, chunk int, counts binary"), "shingle-classes")
+    return written(docs.mapInArrow(run, "key long, size long, sig binary, chunk int, counts binary"), "shingle-classes")
 
 
-def shingle_levels(made: DataFrame) -> np.ndarray:
-    """How common the shingles of each slot are, as twice the binary logarithm of their count (one byte a slot)."""
+def rarity(made: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """By slot: a word's part of the logarithm of its shingles' expected count, and a level for shingles that stand out.
+
+    Twice the binary logarithm throughout. 5 bytes a slot, whatever the corpus.
+    """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_CHUNK, np.int64)
         for c in pdf["counts"]:
             total += np.frombuffer(zlib.decompress(c), "<i8")
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "level": [np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()]})
-
-    rows = made.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, level binary").collect()
-    level = np.zeros(SLOTS, np.uint8)
-    for r in rows:  # SLOTS bytes in all
-        level[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.level, np.uint8)
-    return level
-
-
-def in_order(s: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """A set (ascending) in the global order: rare shingles first, then by hash."""
-    return s[np.argsort(level[_slots(s)], kind="stable")]
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [total.astype("<f4").tobytes()]})
+
+    rows = made.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
+    count = np.zeros(2 * SLOTS)
+    for r in rows:
+        count[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, "<f4")
+    of_words, of_shingles = count[:SLOTS], count[SLOTS:]
+    total = max(of_words.sum(), 1.0)
+    by_word = 2 * (np.log2(np.maximum(of_words, 1)) - np.log2(total) * (1 - 1 / n))
+    usual = of_shingles.mean()
+    above = of_shingles - usual - 4 * np.sqrt(usual)
+    return by_word.astype(np.float32), np.where(above > 1, 128 + np.floor(2 * np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
+
+
+def ordered_sets(texts: pa.Array, n: int, by_word: np.ndarray, by_shingle: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's set (ascending) and the same in the global order."""
+    w = words(texts, True)
+    h, bounds, expected = shingles(w, n, by_word[_slots(w.hash)])
+    level = np.maximum(np.clip(expected + 128, 0, 255).astype(np.uint8), by_shingle[_slots(h)])  # 128: expected once
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        s, at = np.unique(h[a:b], return_index=True)
+        yield s, s[np.argsort(level[a:b][at], kind="stable")]
 
 
 class Trie:
@@ -216,33 +234,42 @@ def link(members: list[np.ndarray], num: int, den: int, side: np.ndarray | None
     return back
 
 
+def _of_several(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys that more than one class has, with the least as ``leader`` (combined before the shuffle)."""
+    return rows.groupBy(*keys).agg(F.min("head").alias("leader"), F.max("head").alias("_last")).where("leader < _last").drop("_last")
+
+
 def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
     """(key, n_shingles, component) of every row: documents linked at Jaccard >= num / den over n-word shingles."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    made = classes(docs, n, "key", "text")
-    level = spark.sparkContext.broadcast(shingle_levels(made))  # SLOTS bytes
+    made = classes(docs, n)
+    level = spark.sparkContext.broadcast(rarity(made, n))  # 5 * SLOTS bytes
     rows = made.where("chunk is null").select("key", "size", "sig")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         for b in blocks(batches, "text"):
-            tokens, owners = [], []
-            for s in sets(b.column("text"), n):
+            tokens, owners, sizes = [], [], []
+            for s, in_order in ordered_sets(b.column("text"), n, *level.value):
                 if len(s):
                     sig = signature(s)
                     if sig not in met:
                         met.add(sig)
-                        first = in_order(s, level.value)[: prefix_size(len(s), num, den)]
+                        first = in_order[: prefix_size(len(s), num, den)]
                         tokens.append(first)
                         owners.append(np.full(len(first), np.frombuffer(sig, ">i8")[0], np.int64))
+                        sizes.append(np.full(len(first), len(s), np.int32))
             if tokens:
-                yield pa.record_batch({"token": np.concatenate(tokens).view(np.int64), "head": np.concatenate(owners)})
+                yield pa.record_batch({"token": np.concatenate(tokens).view(np.int64), "head": np.concatenate(owners), "size": np.concatenate(sizes)})
 
     # Equal sets met by several tasks give equal rows; the aggregates below don't mind.
-    spread = written(docs.select("text").mapInArrow(prefixes, "token long, head long"), "prefixes")
-    led = spread.groupBy("token").agg(F.min("head").alias("leader"), F.max("head").alias("last")).where("leader < last").select("token", "leader")
-    member = written(spread.join(led, "token").select("leader", "head").distinct(), "clusters")
+    spread = written(docs.select("text").mapInArrow(prefixes, "token long, head long, size int"), "prefixes")
+    shared = spread.join(_of_several(spread, "token").select("token"), "token")
+    # Sizes of linked sets differ by a factor of den / num at most: one step of this scale, or two next to each other.
+    step = F.floor(F.log(F.col("size").cast("double")) / (math.log(den / num) * 1.0001)).cast("int") if num < den else F.col("size")
+    banded = shared.withColumn("band", F.explode(F.array(step, step + 1)))
+    member = written(banded.join(_of_several(banded, "token", "band"), ["token", "band"]).select("leader", "head").distinct(), "clusters")
 
     # One text of every class in a cluster.
     wanted = member.select("head").distinct()
@@ -264,8 +291,9 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
     parts = per.join(weight, "leader", "left").select("leader", F.greatest(
         F.ceil(F.col("members") / part), F.ceil(F.coalesce("bytes", F.lit(0)) / (8 * PART_TOKENS))).cast("int").alias("parts"))
     placed = member.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int"))
-    own = placed.join(held, "head").select("leader", "parts", "part", "head", "sig", "tokens")
-    led_by = held.select(F.col("head").alias("leader"), F.col("sig").alias("leader_sig"), F.col("tokens").alias("leader_tokens"))
+    # The leader is a member of its own cluster; of a cut cluster, of every part.
+    also = parts.where("parts > 1").select(F.col("leader"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("head"))
+    own = placed.select("leader", "parts", "part", "head").unionByName(also).join(held, "head")
 
     def unpack(pdf: pd.DataFrame) -> tuple[list[bytes], list[np.ndarray]]:
         seen = dict(zip(map(bytes, pdf["sig"]), pdf["tokens"], strict=True))
@@ -278,16 +306,11 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         """A part beside its leader: links, and for a cut cluster how far each member is from the leader."""
-        leaders = {bytes(s): np.frombuffer(t, _U) for s, t in zip(pdf["leader_sig"], pdf["leader_tokens"], strict=True)}
+        pdf = pdf.sort_values("sig")
         sigs, members = unpack(pdf)
-        mine = dict(zip(sigs, members, strict=True))
-        for s, t in leaders.items():
-            if s not in mine:
-                sigs.append(s)
-                members.append(t)
         # The leader first: its links settle most of a group of near copies.
-        lead = next(iter(leaders))
-        at = sigs.index(lead)
+        lead = int(pdf["leader"].iloc[0])
+        at = next(k for k, s in enumerate(sigs) if int(np.frombuffer(s[:8], ">i8")[0]) == lead)
         sigs[0], sigs[at], members[0], members[at] = sigs[at], sigs[0], members[at], members[0]
         common = np.array([len(np.intersect1d(members[0], m, assume_unique=True)) for m in members])
         size = np.array([len(m) for m in members])
@@ -299,10 +322,10 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
         cut = int(pdf["parts"].iloc[0]) > 1
         out = [(u, v, None, None, None) for u, v in edges]
         if cut:
-            out += [(None, None, s, int(pdf["leader"].iloc[0]), float(1 - c / w)) for s, c, w in zip(sigs, common, union, strict=True) if s in mine]
+            out += [(None, None, s, lead, float(1 - c / w)) for s, c, w in zip(sigs, common, union, strict=True)]
         return pd.DataFrame(out, columns=["u", "v", "sig", "leader", "far"])
 
-    grouped = own.join(led_by, "leader").groupBy("leader", "part")
+    grouped = own.groupBy("leader", "part")
     first = written(grouped.applyInPandas(within, "u binary, v binary, sig binary, leader long, far double"), "links")
     edges = first.where("u is not null").select("u", "v")
     cut = parts.where("parts > 1").select("leader")

@@ -118,8 +118,8 @@ def words(column: pa.Array, lower: bool = False) -> Words:
 _STEP = 0xD6E8FEB86659FD93
 
 
-def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-word shingles of every row and their row bounds.
+def shingles(w: Words, n: int, value: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Hashes of the n-word shingles of every row and their row bounds; with ``value`` by word, also its sums by shingle.
 
     A row with fewer words than n has its whole sequence as one shingle; a row without words none.
     Repeated shingles stay.
@@ -136,9 +136,15 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     np.add.at(keep, (w.first[:-1] + many)[long], -1)
     where = np.flatnonzero(np.cumsum(keep[:-1])[:m])
     out = mix(acc[where] + _U(n))
+    sums = None
+    if value is not None:
+        sums = np.zeros(len(where), value.dtype)
+        for k in range(n):
+            sums += value[where + k]
     short = np.flatnonzero((count > 0) & (count < n))
     if not len(short):
-        return out, np.concatenate([[0], np.cumsum(many)])
+        bounds = np.concatenate([[0], np.cumsum(many)])
+        return (out, bounds) if value is None else (out, bounds, sums)
     each = np.where(count >= n, many, (count > 0).astype(np.int64))
     bounds = np.concatenate([[0], np.cumsum(each)])
     full = np.empty(bounds[-1], _U)
@@ -147,7 +153,11 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     for d in short:
         k = np.arange(count[d])
         full[bounds[d]] = mix(np.sum(h[w.first[d] : w.first[d + 1]] * np.array([pow(_STEP, int(i), 1 << 64) for i in k], _U)) + np.array(count[d], _U) * _U(0x2545F4914F6CDD1D))
-    return full, bounds
+    if value is None:
+        return full, bounds
+    full_sums = np.zeros(bounds[-1], value.dtype)  # 0 for whole short sequences
+    full_sums[count[rows] >= n] = sums
+    return full, bounds, full_sums
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
