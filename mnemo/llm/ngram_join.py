@@ -265,35 +265,40 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
 
     # Equal sets met by several tasks give equal rows; the aggregates below don't mind.
     spread = written(docs.select("text").mapInArrow(prefixes, "token long, head long, size int"), "prefixes")
-    shared = spread.join(_of_several(spread, "token").select("token"), "token")
+    several = spread.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("token")
+    shared = spread.join(several, "token")
     # Sizes of linked sets differ by a factor of den / num at most: one step of this scale, or two next to each other.
     step = F.floor(F.log(F.col("size").cast("double")) / (math.log(den / num) * 1.0001)).cast("int") if num < den else F.col("size")
     banded = shared.withColumn("band", F.explode(F.array(step, step + 1)))
     member = written(banded.join(_of_several(banded, "token", "band"), ["token", "band"]).select("leader", "head").distinct(), "clusters")
 
-    # One text of every class in a cluster.
+    # Parts of each cluster, from the sizes of its sets alone.
     wanted = member.select("head").distinct()
     heads = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
-    reps = written(rows.where("size > 0").groupBy("sig").agg(F.min("key").alias("key")).withColumn("head", heads).join(wanted, "head").select("key"), "class-texts")
-    few = reps.count() <= SEND_ROWS
-    texts = docs.withColumnRenamed("key", "_key").join(F.broadcast(reps) if few else reps, F.col("_key").eqNullSafe(F.col("key")), "left_semi")
+    reps = written(rows.where("size > 0").groupBy("sig").agg(F.min("key").alias("key"), F.max("size").alias("size")).withColumn(
+        "head", heads).join(wanted, "head").select("key", "head", "size"), "class-texts")
+    per = member.join(reps.select("head", "size"), "head").groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("tokens"))
+    parts = per.select("leader", F.greatest(F.ceil(F.col("members") / part), F.ceil(F.col("tokens") / PART_TOKENS)).cast("int").alias("parts"))
+    placed = member.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int"))
+    # The leader is a member of its own cluster; of a cut cluster, of every part.
+    also = parts.where("parts > 1").select(F.col("leader"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("head"))
+    placed = written(placed.select("leader", "parts", "part", "head").unionByName(also), "places")
+
+    # One text of every class in a cluster, as its set.
+    def sendable(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= SEND_ROWS else df
 
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.withColumnRenamed("key", "_key").join(sendable(reps.select("key")), F.col("_key").eqNullSafe(F.col("key")), "left_semi")
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
             got = [s for s in sets(b.column("text"), n) if len(s)]
             sigs = [signature(s) for s in got]
             yield pa.record_batch({"sig": pa.array(sigs, pa.binary()), "head": pa.array([int(np.frombuffer(x, ">i8")[0]) for x in sigs], pa.int64()),
                                    "tokens": pa.array([s.tobytes() for s in got], pa.binary())})
 
-    held = written(texts.select("text").mapInArrow(ordered, "sig binary, head long, tokens binary"), "class-sets")
-    per = member.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
-    weight = member.join(held.select("head", F.length("tokens").alias("bytes")), "head").groupBy("leader").agg(F.sum("bytes").alias("bytes"))
-    parts = per.join(weight, "leader", "left").select("leader", F.greatest(
-        F.ceil(F.col("members") / part), F.ceil(F.coalesce("bytes", F.lit(0)) / (8 * PART_TOKENS))).cast("int").alias("parts"))
-    placed = member.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int"))
-    # The leader is a member of its own cluster; of a cut cluster, of every part.
-    also = parts.where("parts > 1").select(F.col("leader"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("head"))
-    own = placed.select("leader", "parts", "part", "head").unionByName(also).join(held, "head")
+    held = texts.select("text").mapInArrow(as_sets, "sig binary, head long, tokens binary")
+    own = held.join(sendable(placed), "head")
 
     def unpack(pdf: pd.DataFrame) -> tuple[list[bytes], list[np.ndarray]]:
         seen = dict(zip(map(bytes, pdf["sig"]), pdf["tokens"], strict=True))
