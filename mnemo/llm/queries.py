@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, learn, ngram_join, pii, quality_rules, rule_ensemble, sharding, toxicity, url_reputation, warc
+from . import bpe, decontaminate, learn, ngram_join, pii, quality_rules, rule_ensemble, sharding, toxicity, url_reputation, warc
 from .textops import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.joined(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "first_word", "n_words", F.round("similarity", 6).alias("similarity"))
