@@ -11,7 +11,7 @@ length are then verified exactly: weights of shared shingles over weights of all
 
 A shingle's weight is 1 + log(items / items that hold it), so stock phrases of the benchmark count less;
 shingles in no item weigh as those in one. Items of fewer than five words are one shingle of all their
-words. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case.
+words. Words are ``[^\\x20\\x09-\\x0D]+`` in lower case (of all scripts).
 
 The benchmark is the query set: items are taken in passes of ``ITEMS_A_PASS`` against all documents, so
 what a task holds is bounded. Null and empty texts, and items without words, match nothing. A text shorter
@@ -26,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +75,8 @@ def _masks(bits: int, most: int) -> np.ndarray:
 
 
 def index(ids: list, texts: list[str], radius: int = RADIUS) -> Index:
-    w = words(pa.array(texts, pa.string()), True)
+    texts = pc.utf8_lower(pa.array(texts, pa.string())).to_pylist()
+    w = words(pa.array(texts, pa.string()))
     h, bounds = shingles(w, SHINGLE)
     count = w.per_row
     long = np.flatnonzero(count >= SHINGLE)
@@ -101,7 +103,7 @@ def index(ids: list, texts: list[str], radius: int = RADIUS) -> Index:
     short: dict[int, dict[int, list[int]]] = {}
     for k in np.flatnonzero((count > 0) & (count < SHINGLE)):
         n = int(count[k])
-        one, _ = shingles(words(pa.array([texts[k]]), True), n)
+        one, _ = shingles(words(pa.array([texts[k]], pa.string())), n)
         short.setdefault(n, {}).setdefault(int(one[0]), []).append(int(k))
     return Index(ids, count, sets, hashes, weights, other, [sorted(s) for s in held_by], near, prints, short)
 
@@ -151,7 +153,7 @@ def _in_text(row: int, h: np.ndarray, n_words: int, hits: np.ndarray, found: np.
 
 def matches(texts: pa.Array, ix: Index, radius: int = RADIUS, least: float = SIMILARITY) -> list[Match]:
     """The best window of every text for every item that it holds."""
-    w: Words = words(texts, True)
+    w: Words = words(pc.utf8_lower(texts))
     out: list[Match] = []
     if len(ix.hashes):
         h, bounds = shingles(w, SHINGLE)
