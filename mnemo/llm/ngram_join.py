@@ -10,9 +10,10 @@ are linked when the Jaccard similarity of their sets reaches the threshold exact
    all classes: what the frequencies of its words make one expect, and how far the count of the
    shingle's own slot stands out. The order only decides how much work there is, never the result.
 3. Sets as similar as asked share a shingle among the first ``size - ceil(t * size) + 1`` of both
-   (prefix filter), and their sizes are in one or two neighbouring bands. The least class of each shingle
-   and band leads its group; a class is in the cluster of every leader it got this way, so any two
-   linked classes meet in a cluster.
+   (prefix filter), and from that shingle's place on enough must be left in both. The smaller set is
+   entered under the shingle and the band of its size, the larger under the bands it can reach. The
+   least class of each shingle and band leads its group; a class is in the cluster of every leader it
+   got this way, so any two linked classes meet in a cluster.
 4. In a cluster the ordered sets are stored in a trie, commonest shingles first, so near copies
    share long paths. Each set walks the trie; partial overlaps are carried down and so shared, and a
    subtree is pruned when even all that remains of the shortest and the longest set below could
@@ -50,6 +51,8 @@ from .textops import _U, blocks, mix, shingles, words, written
 SLOTS = 1 << 20
 _CHUNK = 1 << 14
 PART = 2000
+#: Width of a band of set sizes, as a logarithm.
+BAND = 0.03
 PART_TOKENS = 1 << 21
 #: Ids are sent to every task only up to this many (8 bytes each); beyond, they are joined by a shuffle.
 SEND_ROWS = 500_000
@@ -234,11 +237,6 @@ def link(members: list[np.ndarray], num: int, den: int, side: np.ndarray | None
     return back
 
 
-def _of_several(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys that more than one class has, with the least as ``leader`` (combined before the shuffle)."""
-    return rows.groupBy(*keys).agg(F.min("head").alias("leader"), F.max("head").alias("_last")).where("leader < _last").drop("_last")
-
-
 def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
     """(key, n_shingles, component) of every row: documents linked at Jaccard >= num / den over n-word shingles."""
     spark = docs.sparkSession
@@ -250,7 +248,7 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         for b in blocks(batches, "text"):
-            tokens, owners, sizes = [], [], []
+            tokens, owners, sizes, places = [], [], [], []
             for s, in_order in ordered_sets(b.column("text"), n, *level.value):
                 if len(s):
                     sig = signature(s)
@@ -260,17 +258,30 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
                         tokens.append(first)
                         owners.append(np.full(len(first), np.frombuffer(sig, ">i8")[0], np.int64))
                         sizes.append(np.full(len(first), len(s), np.int32))
+                        places.append(np.arange(len(first), dtype=np.int32))
             if tokens:
-                yield pa.record_batch({"token": np.concatenate(tokens).view(np.int64), "head": np.concatenate(owners), "size": np.concatenate(sizes)})
+                yield pa.record_batch({"token": np.concatenate(tokens).view(np.int64), "head": np.concatenate(owners), "size": np.concatenate(sizes), "place": np.concatenate(places)})
 
     # Equal sets met by several tasks give equal rows; the aggregates below don't mind.
-    spread = written(docs.select("text").mapInArrow(prefixes, "token long, head long, size int"), "prefixes")
+    spread = written(docs.select("text").mapInArrow(prefixes, "token long, head long, size int, place int"), "prefixes")
     several = spread.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("token")
     shared = spread.join(several, "token")
-    # Sizes of linked sets differ by a factor of den / num at most: one step of this scale, or two next to each other.
-    step = F.floor(F.log(F.col("size").cast("double")) / (math.log(den / num) * 1.0001)).cast("int") if num < den else F.col("size")
-    banded = shared.withColumn("band", F.explode(F.array(step, step + 1)))
-    member = written(banded.join(_of_several(banded, "token", "band"), ["token", "band"]).select("leader", "head").distinct(), "clusters")
+    # With the shared shingle at a place, a set can still reach partners of up to ``most`` shingles. In a linked pair the smaller
+    # set reaches its own size (it is found in its own band), the larger looks in the bands from num / den of its size on.
+    size, t = F.col("size").cast("double"), num / den
+    most = (size - F.col("place")) * ((1 + t) / t) - size + 1e-6
+
+    def band(x):
+        return F.floor(F.log(F.greatest(x, F.lit(1.0))) / BAND).cast("int")
+
+    low, high = band(size * t * (1 - 1e-9)), band(F.least(size, most))
+    role = F.concat(F.when(most >= size, F.array(F.struct(band(size).alias("band"), F.lit(True).alias("found")))).otherwise(F.array().cast("array<struct<band:int,found:boolean>>")),
+                    F.when(most >= size * t * (1 - 1e-9), F.transform(F.sequence(low, F.greatest(low, high)), lambda b: F.struct(b.alias("band"), F.lit(False).alias("found")))).otherwise(
+                        F.array().cast("array<struct<band:int,found:boolean>>")))
+    banded = shared.select("token", "head", F.explode(role).alias("role")).select("token", "head", "role.band", "role.found")
+    groups = banded.groupBy("token", "band").agg(F.min("head").alias("leader"), F.max("head").alias("_last"), F.max("found").alias("_found")).where(
+        "leader < _last and _found").select("token", "band", "leader")
+    member = written(banded.join(groups, ["token", "band"]).select("leader", "head").distinct(), "clusters")
 
     # Parts of each cluster, from the sizes of its sets alone.
     wanted = member.select("head").distinct()
