@@ -339,7 +339,10 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
         out = [(u, v, None, None, None) for u, v in edges]
         if cut:
             out += [(None, None, s, lead, float(1 - c / w)) for s, c, w in zip(sigs, common, union, strict=True)]
-        return pd.DataFrame(out, columns=["u", "v", "sig", "leader", "far"])
+        u, v, sig, by, far = zip(*out, strict=True) if out else ((),) * 5
+        # Nullable integers: a float column would round the leader's 64 bits.
+        return pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object), "sig": pd.Series(sig, dtype=object),
+                             "leader": pd.array(by, dtype="Int64"), "far": pd.Series(far, dtype=float)})
 
     grouped = own.groupBy("leader", "part")
     first = written(grouped.applyInPandas(within, "u binary, v binary, sig binary, leader long, far double"), "links")

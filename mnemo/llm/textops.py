@@ -44,6 +44,7 @@ def _power(which: str, n: int) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (public splitmix64 constants)."""
+    x = np.asarray(x)
     x = x ^ (x >> _U(30))
     x = x * _U(0xBF58476D1CE4E5B9)
     x = x ^ (x >> _U(27))

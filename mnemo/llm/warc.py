@@ -198,7 +198,9 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 open_ = None
         if open_ is not None:
             raise ValueError(f"a member of {pdf.file.iloc[0]} is cut short")
-        return pd.DataFrame(found, columns=_ARROW.names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+        # Nullable integers: a float column would round long ids.
+        return pd.DataFrame({f.name: pd.array([r[f.name] for r in found], dtype="Int64") if f.type == pa.int64() else
+                             pd.Series([r[f.name] for r in found], dtype=object) for f in _ARROW})
 
     whole = decoded.where("record.page_id is not null").select("record.*")
     mended = decoded.where("torn is not null").select("torn.*").groupBy("file").applyInPandas(mend, RECORD)
