@@ -1,4 +1,4 @@
-"""Session helpers: building a session, the shared checkpoint folder, bounded broadcasts."""
+"""Session helpers: building a session, the shared checkpoint folder, scratch tables."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest number of rows we ever ship as a broadcast side or a driver-side constant.
-DEFAULT_BROADCAST_ROWS = 100_000
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "mnemo") -> SparkSession:
@@ -91,29 +87,6 @@ def bucketed_table(df: DataFrame, key: str, buckets: int | None = None, name: st
     return spark.table(table_name)
 
 
-def bounded_count(df: DataFrame, cap: int) -> int:
-    """Count rows but stop reading after ``cap + 1``: a cheap proof that ``df`` is small."""
-    return df.limit(cap + 1).count()
-
-
-def broadcast_if_small(df: DataFrame, cap: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only when it is proven to hold at most ``cap`` rows.
-
-    Above the cap the DataFrame is returned unhinted and the planner picks a shuffle join.
-    """
-    if bounded_count(df, cap) <= cap:
-        return F.broadcast(df)
-    return df
-
-
-def collect_bounded(df: DataFrame, cap: int, what: str) -> list:
-    """Collect a DataFrame that must be small; raise instead of pulling an unbounded table."""
-    rows = df.limit(cap + 1).collect()
-    if len(rows) > cap:
-        raise ValueError(f"{what}: more than {cap} rows; refusing to collect to the driver")
-    return rows
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over the cluster only when its scan yields too few partitions.
 

@@ -1,7 +1,13 @@
 """Operator properties on small in-memory tables."""
 
+import math
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from mnemo.operators import matching
 from mnemo.operators.circuits import kl_to_clean, logit_diff, ranked_scores, smallest_prefix
 from mnemo.operators.completion import greedy_complete, train_next_token
 from mnemo.operators.graph import best_to_target
@@ -33,16 +39,50 @@ def test_greedy_walk_matches_stepwise(spark):
     assert got == ["c", "d", "a", "b", "c"]
 
 
-def test_greedy_match_goldens(spark):
-    cands = spark.createDataFrame(
-        [(0, 10, 0.9, 1, True), (0, 11, 0.8, 2, True), (1, 10, 0.95, 1, True), (1, 11, 0.1, 2, True)],
-        "high_id long, low_id long, sim double, rank int, ok boolean")
-    order = spark.createDataFrame([(0, 0), (1, 1)], "high_id long, h_ord long")
-    got = {(r[0], r[1]) for r in greedy_match(cands.drop("ok"), order).collect()}
-    assert got == {(0, 10), (1, 11)}
-    incompatible = cands.withColumn("ok", ~((F.col("high_id") == 0) & (F.col("low_id") == 10)))
-    got = {(r[0], r[1]) for r in greedy_match(incompatible, order, compatible="ok").collect()}
-    assert got == {(1, 10)}
+def _side(spark, name, rows):
+    return spark.createDataFrame(rows, f"{name} long, vec array<double>, n long")
+
+
+def _serial_match(highs, lows, same):
+    used, out = set(), set()
+    for h, hv, hn in highs:
+        sims = [(-round(sum(a * b for a, b in zip(hv, lv)) / (math.hypot(*hv) * math.hypot(*lv)), 12), low, ln)
+                for low, lv, ln in lows if low not in used]
+        if sims:
+            _, low, ln = min(sims)
+            if not same or ln == hn:
+                used.add(low)
+                out.add((h, low))
+    return out
+
+
+@pytest.mark.parametrize("same", [None, "n"])
+def test_greedy_match_equals_the_serial_walk(spark, same):
+    rnd = random.Random(3)
+    highs = [(i, [rnd.gauss(0, 1) for _ in range(3)], rnd.randrange(3)) for i in range(60)]
+    lows = [(i, [rnd.gauss(0, 1) for _ in range(3)], rnd.randrange(3)) for i in range(70)]
+    lows += [(100 + i, v, n) for i, v, n in lows[:10]]  # equal vectors tie, the lower id goes first
+    got = greedy_match(_side(spark, "high_id", highs), _side(spark, "low_id", lows), same=same, k=8)
+    assert {(r[0], r[1]) for r in got.collect()} == _serial_match(highs, lows, same)
+
+
+def test_greedy_match_more_highs_than_lows_and_none(spark):
+    highs, lows = [(i, [1.0, 0.1 * i], 0) for i in range(5)], [(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0)]
+    got = greedy_match(_side(spark, "high_id", highs), _side(spark, "low_id", lows))
+    assert {(r[0], r[1]) for r in got.collect()} == {(0, 0), (1, 1)}
+    assert greedy_match(_side(spark, "high_id", []), _side(spark, "low_id", lows)).count() == 0
+    assert greedy_match(_side(spark, "high_id", highs), _side(spark, "low_id", [])).count() == 0
+
+
+def test_top_k_similar_of_3000_highs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 8 * 4 * 1200)
+    rng = np.random.default_rng(5)
+    hm, lm = rng.normal(size=(3000, 4)), rng.normal(size=(500, 4))
+    highs, lows = [(i, v.tolist(), 0) for i, v in enumerate(hm)], [(i, v.tolist(), 0) for i, v in enumerate(lm)]
+    got = matching.top_k_similar(_side(spark, "high_id", highs), _side(spark, "low_id", lows), k=2).collect()
+    sims = (hm / np.linalg.norm(hm, axis=1)[:, None]) @ (lm / np.linalg.norm(lm, axis=1)[:, None]).T
+    best = np.argsort(-sims, axis=1)[:, :2]
+    assert {(r["high_id"], r["rank"]): r["low_id"] for r in got} == {(i, j + 1): int(best[i, j]) for i in range(3000) for j in range(2)}
 
 
 def test_best_path_golden(spark):
