@@ -10,6 +10,8 @@ are reproduced with explicit character classes instead of engine-specific ``\\s`
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,71 +87,118 @@ def lines(s) -> Column:
     return F.split(_c(s), "\n")
 
 
+#: Every decimal digit of Unicode with its ASCII digit, for ``translate``.
+_NON_ASCII_DIGITS = [chr(c) for c in range(128, 0x110000) if unicodedata.decimal(chr(c), None) is not None]
+DIGITS_FROM = "".join(_NON_ASCII_DIGITS)
+DIGITS_TO = "".join(str(unicodedata.decimal(c)) for c in _NON_ASCII_DIGITS)
+LIMB = 18  # digits that a BIGINT holds whatever they are
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: a lambda body evaluates whatever it names again per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def numbers(s) -> Column:
-    """Integers of ``\\b(\\d+)\\b`` in order. A run of more than 18 digits, or of non-ASCII
-    digits, gives NULL, which makes the numeric rules false (Python would use big ints)."""
-    words = F.split(_c(s), NON_WORD)
-    digits = F.filter(words, lambda w: w.rlike(DIGITS))
-    return F.transform(digits, lambda w: F.when(F.length(w) <= 18, w.try_cast("bigint")))
+    """Integers of ``\\b(\\d+)\\b`` in order, of any length, as ASCII digits without leading zeros."""
+    words = F.filter(F.split(_c(s), NON_WORD), lambda w: w.rlike(DIGITS))
+    return F.transform(words, lambda w: F.regexp_replace(
+        F.when(w.rlike("^[0-9]+$"), w).otherwise(F.translate(w, DIGITS_FROM, DIGITS_TO)), "^0+(?=.)", ""))
+
+
+def _limbs(n: Column, count: Column) -> Column:
+    padded = F.lpad(n, count * LIMB, F.lit("0"))
+    return F.transform(F.sequence(count - 1, F.lit(0)), lambda i: F.substring(padded, i * LIMB + 1, F.lit(LIMB)).try_cast("bigint"))
+
+
+def _with_arithmetic(all_numbers: Column, rule) -> Column:
+    """``rule(minus, whole)`` with differences that are exact for the longest of ``all_numbers``.
+
+    Up to 18 digits they are BIGINTs; beyond, arrays of 18-digit limbs, lowest first, in complement
+    form with a spare limb, so that equal differences are equal arrays.
+    """
+    def short_minus(x, y):
+        return x.try_cast("bigint") - y.try_cast("bigint")
+
+    def short_whole(i):
+        return i.cast("bigint")
+
+    def long(count):
+        def minus(x, y):
+            zero = F.struct(F.lit(0).cast("bigint").alias("borrow"), F.array().cast("array<bigint>").alias("out"))
+
+            def step(acc, d):
+                left = d - acc["borrow"]
+                return F.struct(F.when(left < 0, 1).otherwise(0).cast("bigint").alias("borrow"),
+                                F.concat(acc["out"], F.array(F.pmod(left, F.lit(10 ** LIMB)))).alias("out"))
+
+            return F.aggregate(F.zip_with(_limbs(x, count), _limbs(y, count), lambda a, b: a - b), zero, step, lambda r: r["out"])
+
+        return rule(minus, lambda i: _limbs(i.cast("string"), count))
 
+    width = F.coalesce(F.array_max(F.transform(all_numbers, F.length)), F.lit(0))
+    return _let(width, lambda w: F.when(w <= LIMB, rule(short_minus, short_whole)).otherwise(
+        _let((F.floor(w / LIMB) + 2).cast("int"), long)))
 
-def _no_nulls(arr: Column) -> Column:
-    return F.forall(arr, lambda x: x.isNotNull())
+
+def _steps(arr: Column, fn) -> Column:
+    """``fn(element, element before)`` of every neighbouring pair."""
+    n = F.greatest(F.size(arr) - 1, F.lit(0))
+    return F.zip_with(F.slice(arr, 2, n), F.slice(arr, 1, n), fn)
 
 
 def is_sequential_numbers(text, completion) -> Column:
     """O68 (S11)."""
-    tn, cn = numbers(text), numbers(completion)
-    last = F.try_element_at(tn, F.lit(-1))
-    cont = F.forall(
-        F.sequence(F.lit(1), F.greatest(F.size(cn), F.lit(1))), lambda i: F.try_element_at(cn, i) == last + i
-    )
-    inner = (F.size(cn) > 1) & F.forall(
-        F.sequence(F.lit(2), F.greatest(F.size(cn), F.lit(2))),
-        lambda i: F.try_element_at(cn, i) == F.try_element_at(cn, i - 1) + 1,
-    )
-    ok = (F.size(tn) > 0) & (F.size(cn) > 0) & _no_nulls(tn) & _no_nulls(cn)
-    return F.coalesce(ok & (cont | inner), F.lit(False))
+    def decide(z):
+        last, c = z["last"], z["c"]
 
+        def rule(minus, whole):
+            cont = F.forall(F.transform(c, lambda x, i: minus(x, last) == whole(i + 1)), lambda ok: ok)
+            inner = (F.size(c) > 1) & F.forall(_steps(c, lambda x, y: minus(x, y) == whole(F.lit(1))), lambda ok: ok)
+            return cont | inner
 
-def _numbered_lines(s) -> Column:
-    per_line = F.transform(lines(py_strip(s)), lambda ln: numbers(ln))
-    return F.filter(per_line, lambda a: F.size(a) > 0)
+        return last.isNotNull() & (F.size(c) > 0) & _with_arithmetic(F.array_append(c, last), rule)
 
+    found = F.struct(F.try_element_at(numbers(text), F.lit(-1)).alias("last"), numbers(completion).alias("c"))
+    return F.coalesce(_let(found, decide), F.lit(False))
 
-def _increments(nl: Column) -> Column:
-    """Flattened element-wise differences of neighbouring numbered lines with equal counts."""
-    pairs = F.filter(
-        F.sequence(F.lit(2), F.greatest(F.size(nl), F.lit(2))),
-        lambda i: (F.size(nl) >= i) & (F.size(F.try_element_at(nl, i)) == F.size(F.try_element_at(nl, i - 1))),
-    )
-    diffs = F.transform(
-        pairs, lambda i: F.zip_with(F.try_element_at(nl, i), F.try_element_at(nl, i - 1), lambda a, b: a - b)
-    )
-    return F.flatten(diffs)
+
+def _numbered_lines(ls: Column) -> Column:
+    return F.filter(F.transform(ls, numbers), lambda a: F.size(a) > 0)
 
 
 def is_line_by_line_sequential(text, completion) -> Column:
     """O69 (S12)."""
-    tl, cl = _numbered_lines(text), _numbered_lines(completion)
-    ti, ci = _increments(tl), _increments(cl)
-    both = (F.size(ti) > 0) & (F.size(ci) > 0)
-    same = both & F.forall(ti, lambda x: x == F.try_element_at(ti, F.lit(1))) & F.forall(
-        ci, lambda x: x == F.try_element_at(ci, F.lit(1))
-    ) & (F.try_element_at(ti, F.lit(1)) == F.try_element_at(ci, F.lit(1)))
-    inc = F.when(both, F.try_element_at(ti, F.lit(1))).otherwise(F.lit(1).cast("bigint"))
-    last_t, first_c = F.try_element_at(tl, F.lit(-1)), F.try_element_at(cl, F.lit(1))
-    cont = (F.size(last_t) == F.size(first_c)) & F.forall(
-        F.zip_with(last_t, first_c, lambda a, b: (a + inc) == b), lambda x: x
-    )
-    enough = (
-        (F.size(lines(py_strip(text))) >= 2)
-        & (F.size(lines(py_strip(completion))) >= 2)
-        & (F.size(tl) >= 2)
-        & (F.size(cl) >= 2)
-    )
-    all_numbers = F.flatten(F.concat(tl, cl))
-    return F.coalesce(enough & _no_nulls(all_numbers) & (same | cont), F.lit(False))
+    def decide(z):
+        t, c = z["t"], z["c"]
+
+        def rule(minus, whole):
+            def increments(nl):
+                """Element-wise differences of neighbouring numbered lines with equal counts."""
+                same_size = _steps(nl, lambda x, y: F.when(F.size(x) == F.size(y), F.zip_with(x, y, minus)))
+                return F.flatten(F.filter(same_size, lambda d: d.isNotNull()))
+
+            def judge(y):
+                first_t, first_c = F.try_element_at(y["ti"], F.lit(1)), F.try_element_at(y["ci"], F.lit(1))
+                both = first_t.isNotNull() & first_c.isNotNull()
+                same = both & (first_t == first_c) & F.forall(F.concat(y["ti"], y["ci"]), lambda x: x == first_t)
+                return same | _let(F.when(both, first_t).otherwise(whole(F.lit(1))), cont)
+
+            def cont(inc):
+                last_t, first_c = F.try_element_at(t, F.lit(-1)), F.try_element_at(c, F.lit(1))
+                return (F.size(last_t) == F.size(first_c)) & F.forall(
+                    F.zip_with(last_t, first_c, lambda x, y: minus(y, x) == inc), lambda ok: ok)
+
+            return _let(F.struct(increments(t).alias("ti"), increments(c).alias("ci")), judge)
+
+        return z["enough"] & (F.size(t) >= 2) & (F.size(c) >= 2) & _with_arithmetic(F.flatten(F.concat(t, c)), rule)
+
+    def split_lines(y):
+        return _let(F.struct(((F.size(y["t"]) >= 2) & (F.size(y["c"]) >= 2)).alias("enough"),
+                             _numbered_lines(y["t"]).alias("t"), _numbered_lines(y["c"]).alias("c")), decide)
+
+    both_lines = F.struct(lines(py_strip(text)).alias("t"), lines(py_strip(completion)).alias("c"))
+    return F.coalesce(_let(both_lines, split_lines), F.lit(False))
 
 
 def _nonspace_chars(s) -> Column:
@@ -159,12 +208,27 @@ def _nonspace_chars(s) -> Column:
 def is_repeated_text(text, completion) -> Column:
     """O70 (S13)."""
     t, c = _c(text), _c(completion)
-    tw, cw = py_words(t), py_words(c)
-    cjoined = F.array_join(cw, " ")
-    phrase = F.exists(
-        F.sequence(F.lit(1), F.greatest(F.size(tw) - 2, F.lit(1))),
-        lambda i: F.contains(cjoined, F.array_join(F.slice(tw, i, 3), " ")),
-    )
+    # A window of three words is in the joined completion: as three whole words, or (rarely) with its outer
+    # words inside longer ones, which is searched only if middle words and touching letters agree somewhere.
+    def windows(ws, fn):
+        n = F.greatest(F.size(ws) - 2, F.lit(0))
+        return F.zip_with(F.zip_with(F.slice(ws, 1, n), F.slice(ws, 2, n), lambda x, y: F.struct(x.alias("a"), y.alias("b"))),
+                          F.slice(ws, 3, n), lambda p, z: fn(p["a"], p["b"], z))
+
+    def whole(x, y, z):
+        return F.concat_ws(" ", x, y, z)
+
+    def touching(x, y, z):
+        return F.concat_ws(" ", F.right(x, F.lit(1)), y, F.left(z, F.lit(1)))
+
+    def shares_window(z):
+        tw, cw = z["tw"], z["cw"]
+        inside = _let(F.array_join(cw, " "), lambda joined: F.exists(windows(tw, whole), lambda w: F.contains(joined, w)))
+        return (F.size(tw) >= 3) & (F.size(cw) >= 3) & (
+            F.arrays_overlap(windows(tw, whole), windows(cw, whole))
+            | (F.arrays_overlap(windows(tw, touching), windows(cw, touching)) & inside))
+
+    phrase = _let(F.struct(py_words(t).alias("tw"), py_words(c).alias("cw")), shares_window)
     tlines = lines(py_strip(t))
     pattern = F.array_join(F.slice(tlines, F.greatest(F.size(tlines) - 2, F.lit(1)), 3), "\n")
     tail = F.contains(F.array_join(lines(py_strip(c)), "\n"), pattern)
@@ -172,7 +236,7 @@ def is_repeated_text(text, completion) -> Column:
     single = (F.length(t) > 3) & (F.length(c) > 3) & (F.size(tchars) == 1) & (F.size(cchars) == 1) & (
         F.try_element_at(tchars, F.lit(1)) == F.try_element_at(cchars, F.lit(1))
     )
-    rule = (py_strip(t) == py_strip(c)) | ((F.size(tw) >= 3) & (F.size(cw) >= 3) & phrase) | tail | single
+    rule = (py_strip(t) == py_strip(c)) | phrase | tail | single
     return F.coalesce((F.length(t) > 0) & (F.length(c) > 0) & rule, F.lit(False))
 
 
