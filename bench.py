@@ -27,6 +27,9 @@ HEADLINE = [
     "min_max_normalize",
     "contributions_residual",
     "smallest_prefix",
+    "seq_numbers",
+    "best_tokens",
+    "greedy_match",
 ]
 
 
