@@ -136,7 +136,7 @@ def graph_inputs(spark: SparkSession, sf: str):
     """Per-head attention weights and per-(graph, layer, token) base weights."""
     ev = table(spark, sf, "events")
     types = global_rank(ev.select("event_type").distinct(), ["event_type"], "r")
-    ev = ev.join(F.broadcast(types.select("event_type", (F.col("r") - 1).cast("int").alias("tok"))), "event_type")
+    ev = ev.join(types.select("event_type", (F.col("r") - 1).cast("int").alias("tok")), "event_type")
     ev = ev.select(F.col("user_id").alias("graph_id"), (F.hour("ts") / 6).cast("int").alias("layer"), "tok",
                    F.when(F.col("value") > 10, 1).otherwise(0).alias("head"), "value")
     nl, nt = ev.agg(F.max("layer") + 1, F.max("tok") + 1).first()
@@ -177,7 +177,20 @@ def shares(spark: SparkSession, sf: str, parallel: bool = False, threshold: floa
     attn = attn_raw.join(b.select("graph_id", "layer", F.col("token").alias("to_tok"), "attn_den"),
                          ["graph_id", "layer", "to_tok"]).select(
         "graph_id", "layer", "to_tok", "from_tok", "head", (F.col("w") / F.col("attn_den")).alias("share"))
-    if threshold is not None and not parallel:
+    if threshold is not None and parallel:
+        # Attention, feed-forward and residual of a token share one denominator.
+        def one(part, df):
+            return df.select("graph_id", "layer", "token", F.lit(-1).alias("from_tok"), F.lit(-1).alias("head"), "share",
+                             F.lit(part).alias("part"))
+
+        rep = attn.select("graph_id", "layer", F.col("to_tok").alias("token"), "from_tok", "head", "share",
+                          F.lit("attn").alias("part")).unionByName(one("ffn", ffn)).unionByName(one("resid", ra))
+        rep = threshold_renormalize(rep.withColumn("group", F.struct("graph_id", "layer", "token")), threshold, "group").drop("group")
+        attn = rep.where(F.col("part") == "attn").select("graph_id", "layer", F.col("token").alias("to_tok"),
+                                                          "from_tok", "head", "share")
+        ffn, ra = (rep.where(F.col("part") == p).select("graph_id", "layer", "token", "share") for p in ("ffn", "resid"))
+        rf = ra
+    elif threshold is not None:
         # O87 per representation: attention blocks + residual share one denominator.
         a_rep = attn.select("graph_id", "layer", F.col("to_tok").alias("token"), "from_tok", "head", "share",
                             F.lit("attn").alias("part"))
