@@ -69,9 +69,10 @@ def greedy_walk(starts: DataFrame, model: DataFrame, k: int, checkpoint_every: i
     (``st`` = the start-state tokens, at most k). Returns ``(start, generated ARRAY<STRING>)``
     with up to ``need`` tokens; a state with no continuation ends the walk early.
 
-    The steps chain lazily into one plan (one frontier exchange per step); finished rows
-    carry a NULL join key so they pass through without matching. A reliable checkpoint every
-    ``checkpoint_every`` steps bounds the lineage.
+    The steps chain lazily into one plan (one frontier exchange per step). A finished row's join
+    key is a blank and its start, which no state equals and which spreads such rows over all tasks.
+    A reliable checkpoint every ``checkpoint_every`` steps bounds the lineage; finished rows are
+    set aside there.
     """
     # Materialize the model once as a table bucketed on the join key: every step then
     # shuffles only the frontier and reads the model buckets in place (or broadcasts the
@@ -81,9 +82,11 @@ def greedy_walk(starts: DataFrame, model: DataFrame, k: int, checkpoint_every: i
         "start", "st", "need", F.array().cast("array<string>").alias("gen"), F.lit(False).alias("dead")
     )
     max_need = starts.agg(F.max("need")).first()[0] or 0
+    active = ~F.col("dead") & (F.size("gen") < F.col("need"))
+    aside = []
     for step in range(max_need):
-        active = ~F.col("dead") & (F.size("gen") < F.col("need"))
-        stepped = frontier.withColumn("state", F.when(active, state_key(F.col("st")))).join(model, "state", "left")
+        key = F.when(active, state_key(F.col("st"))).otherwise(F.concat(F.lit(" "), "start"))
+        stepped = frontier.withColumn("walks", active).withColumn("state", key).join(model, "state", "left")
         frontier = stepped.select(
             "start",
             "need",
@@ -93,10 +96,14 @@ def greedy_walk(starts: DataFrame, model: DataFrame, k: int, checkpoint_every: i
             F.when(F.col("next").isNull(), F.col("gen")).otherwise(
                 F.concat(F.col("gen"), F.array(F.col("next")))
             ).alias("gen"),
-            (F.col("dead") | (F.col("state").isNotNull() & F.col("next").isNull())).alias("dead"),
+            (F.col("dead") | (F.col("walks") & F.col("next").isNull())).alias("dead"),
         )
         if checkpoint_every and (step + 1) % checkpoint_every == 0 and step + 1 < max_need:
             frontier = cut_lineage(frontier)
+            aside.append(frontier.where(~active))
+            frontier = frontier.where(active)
+    for done in aside:
+        frontier = frontier.unionByName(done)
     return frontier.select("start", F.col("gen").alias("generated"))
 
 

@@ -40,6 +40,8 @@ def load_all() -> dict[str, Query]:
     from . import (  # noqa: F401
         q_bleu,
         q_circuits,
+        q_divergence,
+        q_entities,
         q_flow,
         q_io,
         q_match,

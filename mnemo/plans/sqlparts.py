@@ -40,23 +40,23 @@ model AS MATERIALIZED (
 )"""
 
 
-def walk_ctes(starts: str, k: int, max_steps: int) -> str:
+def walk_ctes(starts: str, k: int, max_steps: int, name: str = "walk") -> str:
     """Recursive greedy walk.
 
-    ``starts`` must be a CTE with columns ``(wid, st LIST, need)``. Produces ``walk_final(wid, gen)``.
+    ``starts`` must be a CTE with columns ``(wid, st LIST, need)``. Produces ``{name}_final(wid, gen)``.
     """
     return f"""
-walk AS (
+{name} AS (
   SELECT wid, st, need, []::VARCHAR[] AS gen, 0 AS step FROM {starts}
   UNION ALL
   SELECT w.wid,
          list_slice(list_append(w.st, m.nxt), greatest(len(w.st) + 1 - {k} + 1, 1), len(w.st) + 1),
          w.need, list_append(w.gen, m.nxt), w.step + 1
-  FROM walk w JOIN model m ON m.state = array_to_string(w.st, ' ')
+  FROM {name} w JOIN model m ON m.state = array_to_string(w.st, ' ')
   WHERE w.step < w.need AND w.step < {max_steps}
 ),
-walk_final AS (
-  SELECT wid, arg_max(gen, step) AS gen FROM walk GROUP BY wid
+{name}_final AS (
+  SELECT wid, arg_max(gen, step) AS gen FROM {name} GROUP BY wid
 )"""
 
 
