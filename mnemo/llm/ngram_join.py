@@ -42,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -54,6 +54,8 @@ PART = 2000
 #: Width of a band of set sizes, as a logarithm.
 BAND = 0.03
 PART_TOKENS = 1 << 21
+#: Shingles of slots that stand out by more occurrences than this are hot: aggregated before they are shuffled and joined back.
+HOT = 1 << 12
 #: Ids are sent to every task only up to this many (8 bytes each); beyond, they are joined by a shuffle.
 SEND_ROWS = 500_000
 
@@ -242,10 +244,12 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     made = classes(docs, n)
-    level = spark.sparkContext.broadcast(rarity(made, n))  # 5 * SLOTS bytes
+    made_level = rarity(made, n)
+    level = spark.sparkContext.broadcast(made_level)  # 5 * SLOTS bytes
+    hot_level = 128 + int(2 * math.log2(HOT))
     rows = made.where("chunk is null").select("key", "size", "sig")
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         for b in blocks(batches, "text"):
             tokens, owners, sizes, places = [], [], [], []
@@ -255,17 +259,18 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
                     if sig not in met:
                         met.add(sig)
                         first = in_order[: prefix_size(len(s), num, den)]
-                        tokens.append(first)
-                        owners.append(np.full(len(first), np.frombuffer(sig, ">i8")[0], np.int64))
-                        sizes.append(np.full(len(first), len(s), np.int32))
-                        places.append(np.arange(len(first), dtype=np.int32))
+                        place = np.flatnonzero((level.value[1][_slots(first)] >= hot_level) == hot)
+                        tokens.append(first[place])
+                        owners.append(np.full(len(place), np.frombuffer(sig, ">i8")[0], np.int64))
+                        sizes.append(np.full(len(place), len(s), np.int32))
+                        places.append(place.astype(np.int32))
             if tokens:
                 yield pa.record_batch({"token": np.concatenate(tokens).view(np.int64), "head": np.concatenate(owners), "size": np.concatenate(sizes), "place": np.concatenate(places)})
 
-    # Equal sets met by several tasks give equal rows; the aggregates below don't mind.
-    spread = written(docs.select("text").mapInArrow(prefixes, "token long, head long, size int, place int"), "prefixes")
-    several = spread.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("token")
-    shared = spread.join(several, "token")
+    def spread(hot: bool) -> DataFrame:
+        """Rows of the prefixes' shingles; equal sets met by several tasks give equal rows, which changes nothing below."""
+        return docs.select("text").mapInArrow(lambda batches: prefixes(batches, hot), "token long, head long, size int, place int")
+
     # With the shared shingle at a place, a set can still reach partners of up to ``most`` shingles. In a linked pair the smaller
     # set reaches its own size (it is found in its own band), the larger looks in the bands from num / den of its size on.
     size, t = F.col("size").cast("double"), num / den
@@ -278,10 +283,19 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
     role = F.concat(F.when(most >= size, F.array(F.struct(band(size).alias("band"), F.lit(True).alias("found")))).otherwise(F.array().cast("array<struct<band:int,found:boolean>>")),
                     F.when(most >= size * t * (1 - 1e-9), F.transform(F.sequence(low, F.greatest(low, high)), lambda b: F.struct(b.alias("band"), F.lit(False).alias("found")))).otherwise(
                         F.array().cast("array<struct<band:int,found:boolean>>")))
-    banded = shared.select("token", "head", F.explode(role).alias("role")).select("token", "head", "role.band", "role.found")
-    groups = banded.groupBy("token", "band").agg(F.min("head").alias("leader"), F.max("head").alias("_last"), F.max("found").alias("_found")).where(
-        "leader < _last and _found").select("token", "band", "leader")
-    member = written(banded.join(groups, ["token", "band"]).select("leader", "head").distinct(), "clusters")
+    def by_band(rows: DataFrame) -> DataFrame:
+        return rows.select("token", "head", F.explode(role).alias("role")).select("token", "head", "role.band", "role.found")
+
+    last = {"leader": F.min("head"), "_last": F.max("head"), "_found": F.max("found")}
+    # One shuffle by shingle serves both windows; a shingle that is not hot has a bounded number of rows.
+    several = spread(False).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("_n > 1")
+    member = by_band(several).withColumns({k: v.over(Window.partitionBy("token", "band")) for k, v in last.items()}).where(
+        "leader < _last and _found").select("leader", "head")
+    if (made_level[1] >= hot_level).any():
+        banded = by_band(spread(True))
+        groups = banded.groupBy("token", "band").agg(*[v.alias(k) for k, v in last.items()]).where("leader < _last and _found").select("token", "band", "leader")
+        member = member.unionByName(banded.join(groups, ["token", "band"]).select("leader", "head"))
+    member = written(member.distinct(), "clusters")
 
     # Parts of each cluster, from the sizes of its sets alone.
     wanted = member.select("head").distinct()

@@ -106,18 +106,23 @@ def with_statistics(docs: DataFrame, text: str = "text", into: str = "stats") ->
         F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
         repeat_words(_window_hashes(ws)).alias("n_repeat_words")))
     symbols = F.length(F.regexp_replace(t, SYMBOLS, "")).cast("long")
-    return docs.withColumn("_w", word_figures).withColumn("_l", line_figures).withColumn("_s", symbols).withColumn(into, F.struct(
-        "_w.n_words", "_w.word_chars", F.col("_s").alias("n_symbols"), "_l.n_dup_lines", "_w.n_repeat_words",
-        "_l.n_lines", "_l.n_ended_lines")).drop("_w", "_l", "_s")
+    figures = F.struct(word_figures.alias("w"), line_figures.alias("l"), symbols.alias("s"))
+    return docs.withColumn(into, _bind(figures, lambda z: F.struct(
+        z["w"]["n_words"].alias("n_words"), z["w"]["word_chars"].alias("word_chars"), z["s"].alias("n_symbols"), z["l"]["n_dup_lines"].alias("n_dup_lines"),
+        z["w"]["n_repeat_words"].alias("n_repeat_words"), z["l"]["n_lines"].alias("n_lines"), z["l"]["n_ended_lines"].alias("n_ended_lines"))))
 
 
-def base_failed(s: str = "stats") -> Column:
-    return (F.col(f"{s}.n_words") < 50) | (100 * F.col(f"{s}.n_repeat_words") > 50 * F.col(f"{s}.n_words"))
+def _field(s: str | Column, name: str) -> Column:
+    return F.col(f"{s}.{name}") if isinstance(s, str) else s[name]
 
 
-def rules(s: str = "stats") -> dict[str, Column]:
+def base_failed(s: str | Column = "stats") -> Column:
+    return (_field(s, "n_words") < 50) | (100 * _field(s, "n_repeat_words") > 50 * _field(s, "n_words"))
+
+
+def rules(s: str | Column = "stats") -> dict[str, Column]:
     """The votes: 1 good, -1 bad, 0 abstains."""
-    c = {k: F.col(f"{s}.{k}") for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines")}
+    c = {k: _field(s, k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines")}
 
     def vote(bad: Column, good: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0).cast("int")
@@ -205,8 +210,19 @@ def figures(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that the rules keep, with the input's columns. Texts are written once beside their votes."""
+    """The rows that the rules keep, with the input's columns.
+
+    Texts are read twice, for the table of vote patterns and for the verdict, and never written.
+    """
     cols = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(f"`{text}`").alias("_text"))
-    out = judged(packed, "_text", threshold)
-    return out.where("kept").select("row.*")
+    names = list(rules())
+    own = with_statistics(packed, "_text")
+    # Bound, so that the statistics stand in the plan (and are computed) once a pass.
+    votes = own.select(_bind(F.col("stats"), lambda s: F.struct(*[v.alias(k) for k, v in rules(s).items()])).alias("votes"))
+    prior, accuracy = fit(votes.select("votes.*"), names)
+
+    def verdict(s: Column) -> Column:
+        return ~base_failed(s) & (posterior(rules(s), prior, accuracy) >= threshold)
+
+    return own.where(_bind(F.col("stats"), verdict)).select("row.*")
