@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import pandas as pd
 import pyarrow as pa
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,15 @@ def test_ngram_join(docs, none, n, num, den, part):
         assert ngram_join.joined(none, n, num, den).count() == 0
 
 
+def test_ngram_join_hot_shingles(docs, monkeypatch):
+    """The way of shingles too frequent for one task gives the same."""
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    monkeypatch.setattr(ngram_join, "rarity", lambda made, n, own=ngram_join.rarity: (own(made, n)[0], np.where(np.arange(ngram_join.SLOTS) % 2, 200, 0).astype(np.uint8)))
+    known = docs.where("doc_id is not null")
+    out = ngram_join.joined(known, 3, 90, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component) for r in out} == components([(r[0], r[1]) for r in rows() if r[0] is not None], 3, 90, 100)
+
+
 def test_one_of_each(docs):
     kept = ngram_join.one_of_each(docs)
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
