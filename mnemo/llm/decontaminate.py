@@ -13,8 +13,10 @@ A shingle's weight is 1 + log(items / items that hold it), so stock phrases of t
 shingles in no item weigh as those in one. Items of fewer than five words are one shingle of all their
 words. Words are ``[^\\x20\\x09-\\x0D]+`` in lower case (of all scripts).
 
-The benchmark is the query set: items are taken in passes of ``ITEMS_A_PASS`` against all documents, so
-what a task holds is bounded. Null and empty texts, and items without words, match nothing. A text shorter
+The benchmark is the query set: items are taken in passes of ``ITEMS_A_PASS`` against all documents. Items
+per shingle are counted once over the whole benchmark, so weights don't depend on passes: a window may hold
+shingles of any item, so every pass gets those that several items hold (16 bytes each; all others weigh as
+one in one item). Beside these, what a task holds is bounded. Null and empty texts, and items without words, match nothing. A text shorter
 than an item is one window. Equal items are reported each. Documents with null ids are matched too.
 """
 
@@ -58,7 +60,8 @@ class Index:
     length: np.ndarray
     sets: list[np.ndarray]
     hashes: np.ndarray  # all shingles of the items of five words or more, ascending
-    weights: np.ndarray
+    common: np.ndarray  # shingles that several items of the whole benchmark hold, ascending
+    weights: np.ndarray  # of these
     other: float
     held_by: list[list[int]]  # lengths of the items that hold each shingle
     near: list[tuple[np.ndarray, np.ndarray]]  # by block: bounds by value, items
@@ -66,46 +69,49 @@ class Index:
     short: dict[int, dict[int, list[int]]]  # length -> shingle -> items
 
     def weigh(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
-        return np.where(self.hashes[at] == h, self.weights[at], self.other) if len(self.hashes) else np.full(len(h), self.other)
+        at = np.minimum(np.searchsorted(self.common, h), max(len(self.common) - 1, 0))
+        return np.where(self.common[at] == h, self.weights[at], self.other) if len(self.common) else np.full(len(h), self.other)
 
 
 def _masks(bits: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(bits), k)], np.int64)
 
 
-def index(ids: list, texts: list[str], radius: int = RADIUS) -> Index:
+Counts = tuple[int, np.ndarray, np.ndarray]  # items, shingles that several of them hold, how many do
+
+
+def index(ids: list, texts: list[str], counts: Counts, radius: int = RADIUS) -> Index:
+    """``counts`` are those of the whole benchmark."""
     texts = pc.utf8_lower(pa.array(texts, pa.string())).to_pylist()
     w = words(pa.array(texts, pa.string()))
     h, bounds = shingles(w, SHINGLE)
     count = w.per_row
     long = np.flatnonzero(count >= SHINGLE)
     sets = [np.unique(h[bounds[k] : bounds[k + 1]]) for k in range(len(ids))]
-    hashes, held = np.unique(np.concatenate([sets[k] for k in long]) if len(long) else np.zeros(0, np.uint64), return_counts=True)
-    other = 1 + float(np.log(max(len(ids), 1)))
-    weights = 1 + np.log(max(len(ids), 1) / np.maximum(held, 1))
+    hashes = np.unique(np.concatenate([sets[k] for k in long])) if len(long) else np.zeros(0, np.uint64)
+    total, common, held = counts
+    ix = Index(ids, count, sets, hashes, common, 1 + np.log(total / held), 1 + float(np.log(max(total, 1))), [], [], np.zeros(len(ids), np.uint64), {})
     held_by: list[set[int]] = [set() for _ in hashes]
     for k in long:
         for at in np.searchsorted(hashes, sets[k]):
             held_by[at].add(int(count[k]))
-    prints = np.zeros(len(ids), np.uint64)
+    prints = ix.prints
     for k in long:
         # The item's fingerprint is that of its own words in order, as a window's is.
         own = h[bounds[k] : bounds[k + 1]]
-        prints[k] = _packed(_votes(own, weights[np.searchsorted(hashes, own)]).sum(axis=0)[None])[0]
-    near = []
+        prints[k] = _packed(_votes(own, ix.weigh(own)).sum(axis=0)[None])[0]
     masks = _masks(_BITS, radius // BLOCKS)
     for b in range(BLOCKS):
         value = ((prints[long] >> _U(_BITS * b)) & _U((1 << _BITS) - 1)).astype(np.int64)
         at, who = (value[:, None] ^ masks[None]).ravel(), np.repeat(long, len(masks))
         order = np.argsort(at, kind="stable")
-        near.append((np.searchsorted(at[order], np.arange((1 << _BITS) + 1)), who[order].astype(np.int32)))
-    short: dict[int, dict[int, list[int]]] = {}
+        ix.near.append((np.searchsorted(at[order], np.arange((1 << _BITS) + 1)), who[order].astype(np.int32)))
     for k in np.flatnonzero((count > 0) & (count < SHINGLE)):
         n = int(count[k])
         one, _ = shingles(words(pa.array([texts[k]], pa.string())), n)
-        short.setdefault(n, {}).setdefault(int(one[0]), []).append(int(k))
-    return Index(ids, count, sets, hashes, weights, other, [sorted(s) for s in held_by], near, prints, short)
+        ix.short.setdefault(n, {}).setdefault(int(one[0]), []).append(int(k))
+    ix.held_by.extend(sorted(s) for s in held_by)
+    return ix
 
 
 Match = tuple[int, int, int, int, float, int]  # row, item, first word, words, similarity, distance
@@ -178,6 +184,24 @@ def matches(texts: pa.Array, ix: Index, radius: int = RADIUS, least: float = SIM
     return out
 
 
+def _counts(items: DataFrame, text: str) -> Counts:
+    """How many items there are, and hold each shingle, over the whole benchmark; rows that repeat an item count each."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text"):
+            w = words(pc.utf8_lower(b.column("text")))
+            h, bounds = shingles(w, SHINGLE)
+            sets = [np.unique(h[bounds[k] : bounds[k + 1]]) for k in np.flatnonzero(w.per_row >= SHINGLE)]
+            if sets:
+                yield pa.record_batch({"shingle": np.concatenate(sets).view(np.int64)})
+
+    texts = items.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    several = texts.mapInArrow(distinct, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1").toArrow()
+    shingle, held = several["shingle"].to_numpy().view(np.uint64), several["held"].to_numpy()
+    order = np.argsort(shingle)
+    return texts.count(), shingle[order], held[order]
+
+
 def _passes(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, list[str]]]:
     """The items with words, ``ITEMS_A_PASS`` at a time."""
     clean = items.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).orderBy("id", "text")
@@ -200,13 +224,14 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     item_type = pa.int64() if items.schema[item_key].dataType.simpleString() == "bigint" else None
     out = None
+    counts = docs.sparkSession.sparkContext.broadcast(_counts(items, item_text))
     for ids, texts in _passes(items, item_key, item_text):
         sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ix = None
             for b in blocks(batches, "text"):
-                ix = ix or index(*sent.value, radius)
+                ix = ix or index(*sent.value, counts.value, radius)
                 found = matches(b.column("text"), ix, radius, least)
                 if found:
                     row, item, first, size, similar, far = zip(*found, strict=True)
@@ -222,13 +247,14 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
                   radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """The rows whose text holds no item, with their columns, in one pass over the texts for each pass of items."""
+    counts = docs.sparkSession.sparkContext.broadcast(_counts(items, item_text))
     for ids, texts in _passes(items, item_key, item_text):
         sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ix = None
             for b in blocks(batches, text):
-                ix = ix or index(*sent.value, radius)
+                ix = ix or index(*sent.value, counts.value, radius)
                 stay = np.ones(b.num_rows, bool)
                 stay[[m[0] for m in matches(b.column(text), ix, radius, least)]] = False
                 yield b.filter(pa.array(stay))

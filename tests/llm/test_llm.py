@@ -201,6 +201,26 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(more, bench.limit(0)).count() == 0
 
 
+def test_decontamination_weights_of_whole_benchmark(spark, monkeypatch):
+    """Similarities do not depend on which items share a pass, also not for shingles held only by items of other passes."""
+    stock, rare = passage(500, 12), passage(501, 40)
+    items = [(k, passage(600 + k, 20) + " " + stock) for k in range(9)] + [(9, rare), (10, passage(700, 30) + " " + stock)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    last = items[10][1].split()
+    last[36] = "changed"  # in the stock phrase, so the change weighs little
+    end = rare.split()
+    texts = [items[0][1], " ".join(last), " ".join(end[:35]) + " " + " ".join(stock.split()[:5]), passage(1, 60)]
+    docs = spark.createDataFrame([(k, passage(800 + k, 30) + " " + t + " " + passage(900 + k, 30)) for k, t in enumerate(texts)], "doc_id long, text string")
+    want, left = None, None
+    for a_pass in (1000, 4, 1):
+        monkeypatch.setattr(decontaminate, "ITEMS_A_PASS", a_pass)
+        got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, round(r.similarity, 12), r.distance) for r in decontaminate.leaks(docs, bench, least=0.7).collect()}
+        stay = sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench, least=0.7).collect())
+        want, left = want or got, left or stay
+        assert got == want and stay == left == [3]
+    assert {(0, 0), (1, 10), (2, 9)} <= set(want)
+
+
 def test_sharding(docs, none):
     out = sharding.interleaved(docs, 8).toPandas()
     n = len(rows())
