@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -47,7 +47,7 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str, kind: str, refers_to: int | None, sha1: str, size: int, payload: bytes) -> bytes:
+def record(page_id: int | None, url: str, kind: str, refers_to: int | None, sha1: str, size: int, payload: bytes) -> bytes:
     """One WARC record; ``size`` and ``sha1`` are those of the full payload."""
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url or '')}", f"WARC-Date: {DATE}",
             f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Bytes: {size}", "Content-Type: text/html; charset=utf-8"]
@@ -83,18 +83,15 @@ _ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type
                     ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
 
-def marked(pages: DataFrame, key: str = "page_id", text: str = "html", least: int = 0) -> DataFrame:
-    """(page_id, sha1, refers_to): null refers_to for responses. Only ids and digests are moved."""
+def _sha1(text: str) -> Column:
+    return F.sha1(F.coalesce(text, F.lit("")))
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "body", 8 << 20):
-            raw = [(x or "").encode() for x in b.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(map(digest, raw), pa.string()), pa.array(map(len, raw), pa.int64())],
-                                             names=["page_id", "sha1", "bytes"])
 
-    each = pages.select(F.col(key).cast("long").alias("page_id"), F.col(text).alias("body")).mapInArrow(digests, "page_id long, sha1 string, bytes long")
+def marked(pages: DataFrame, key: str = "page_id", text: str = "html", least: int = 0) -> DataFrame:
+    """(page_id, sha1 in hex, refers_to): null refers_to for responses. Only ids and digests are moved."""
+    each = pages.select(F.col(key).cast("long").alias("page_id"), _sha1(text).alias("sha1"), F.octet_length(F.coalesce(text, F.lit(""))).alias("bytes"))
     last = each.groupBy("sha1").agg(F.max("page_id").alias("last"))  # combined before the shuffle: a hot payload is one row a task
-    same = (F.col("bytes") < least) | (F.col("page_id").eqNullSafe(F.col("last")))
+    same = (F.col("bytes") < least) | F.col("page_id").isNull() | (F.col("page_id").eqNullSafe(F.col("last")))
     return each.join(last, "sha1").select("page_id", "sha1", F.when(~same, F.col("last")).alias("refers_to"))
 
 
@@ -103,17 +100,15 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", t
     """Writes the archives of all pages under ``path``. Lost tasks are run again by Spark's committer."""
     marks = marked(pages, key, text, least).where(F.col("refers_to").isNotNull()).groupBy("page_id", "sha1").agg(F.max("refers_to").alias("refers_to"))
     base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(text).alias("body"))
-    # Revisits are pages whose (id, payload) is marked; the payload's digest is taken anew where the record is made.
-    joined = base.join(marks, "page_id", "left")
+    # Revisits are pages whose (id, payload) is marked; an id may occur with several payloads.
+    joined = base.withColumn("sha1", _sha1("body")).join(marks, ["page_id", "sha1"], "left")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "body", 4 << 20):
             out = []
-            for page_id, u, body, sha1, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "body", "sha1", "refers_to")), strict=True):
+            for page_id, u, body, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "body", "refers_to")), strict=True):
                 raw = (body or "").encode()
-                own = digest(raw)
-                kind = "revisit" if refers is not None and own == sha1 else "response"
-                out.append(member(record(page_id, u, kind, refers, own, len(raw), raw), level)[:-1])
+                out.append(member(record(page_id, u, "response" if refers is None else "revisit", refers, digest(raw), len(raw), raw), level)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     made = joined.mapInArrow(members, "value binary")
@@ -202,7 +197,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         return pd.DataFrame({f.name: pd.array([r[f.name] for r in found], dtype="Int64") if f.type == pa.int64() else
                              pd.Series([r[f.name] for r in found], dtype=object) for f in _ARROW})
 
-    whole = decoded.where("record.page_id is not null").select("record.*")
+    whole = decoded.where("torn is null").select("record.*")
     mended = decoded.where("torn is not null").select("torn.*").groupBy("file").applyInPandas(mend, RECORD)
     return whole.unionByName(mended)
 

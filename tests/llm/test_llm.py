@@ -272,6 +272,24 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_null_and_repeated_ids(spark):
+    """Pages with null ids come back as responses wherever ranges are cut; an id with two payloads gives one record a row."""
+    big = passage(1, 400)
+    rows = [(None, "a"), (None, big), (None, None), (5, "a"), (5, "b"), (7, "a"), (8, "b"), (8, big), (9, "once"), (9, "once")]
+    pages = spark.createDataFrame([(k, "http://x/", h) for k, h in rows], "page_id long, url string, html string").coalesce(1)
+    want = [(None, "a", "response", None), (None, big, "response", None), (None, "", "response", None), (5, "a", "revisit", 7), (5, "b", "revisit", 8),
+            (7, "a", "response", None), (8, "b", "response", None), (8, big, "response", None), (9, "once", "response", None), (9, "once", "response", None)]
+    for size in ("128m", "300"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            back = warc.round_trip(pages).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        got = [(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in back]
+        assert sorted(map(str, got)) == sorted(str((k, warc.digest(h.encode()), kind, to)) for k, h, kind, to in want)
+        assert all(r.payload is None or warc.digest(bytes(r.payload)) == r.payload_digest for r in back)
+
+
 def check_archive(html, got):
     assert sorted(got) == list(range(len(html)))
     for k, h in enumerate(html):
