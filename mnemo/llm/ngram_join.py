@@ -25,8 +25,14 @@ are linked when the Jaccard similarity of their sets reaches the threshold exact
    look at each other) are joined part by part.
 6. Links join classes to components, and documents take the least id.
 
+With ``links`` every linked pair is found, not only as many as the components need: a trie is walked by all
+sets at once (one look at each node, with the overlaps of the walkers still in reach), nothing is left out for
+being in one component, and all pairs of parts of a cut cluster are joined. Two classes that meet in several
+clusters are counted in that of the least leader they share: each member carries its lesser leaders. Pairs
+are counted by class, weighted by how many documents each class has, and never written.
+
 Limits: one document's set must fit in a task. The number of pairs of parts in step 5 grows with the square
-of the members of one cluster that are near the leader without being linked to it.
+of the members of one cluster that are near the leader without being linked to it; with ``links``, of all members.
 
 Nulls, empty texts and texts without words have an empty set, size 0, and are linked with nothing (their
 own component, of their own id). Fewer words than n: the whole sequence is the one shingle. Repeated rows
@@ -239,8 +245,83 @@ def link(members: list[np.ndarray], num: int, den: int, side: np.ndarray | None
     return back
 
 
-def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
-    """(key, n_shingles, component) of every row: documents linked at Jaccard >= num / den over n-word shingles."""
+def links_of(members: list[np.ndarray], num: int, den: int, weight: np.ndarray, earlier: list, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Component labels, and for each set the weight of all sets linked to it, by one walk of a trie with all sets.
+
+    Pairs with a common entry in ``earlier`` are left to another cluster. With ``side`` (0/1) only pairs of different sides are looked at.
+    """
+    n = len(members)
+    label, found = np.arange(n), np.zeros(n, np.int64)
+    under = np.arange(n) if side is None else np.flatnonzero(side)
+    if n < 2 or not 0 < len(under) < n + (side is None):
+        return label, found
+    values, ranks, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    place = np.empty(len(values), np.int64)
+    place[np.lexsort((values, -count))] = np.arange(len(values))  # commonest first
+    rows = [np.sort(r) for r in np.split(place[ranks], np.cumsum([len(m) for m in members])[:-1])]
+    trie = Trie([rows[k] for k in under])
+    leaf = under[trie.order]
+    walker = leaf if side is None else np.flatnonzero(side == 0)
+    size = np.array([len(rows[k]) for k in walker])
+    first = np.cumsum(size) - size
+    flat = np.concatenate([rows[k] for k in walker])
+    owner = np.repeat(np.arange(len(walker)), size)
+    keys = owner * len(values) + flat
+    order = np.argsort(flat, kind="stable")
+    holds, start = owner[order], np.searchsorted(flat[order], np.arange(len(values) + 1))  # walkers that hold each value
+    met: dict[int, list[int]] = {}
+    for i, k in enumerate(walker.tolist()):
+        for e in earlier[k]:
+            met.setdefault(int(e), []).append(i)
+    todo = [(trie.root, np.arange(len(walker)), np.zeros(len(walker), np.int64))]
+    while todo:
+        node, alive, overlap = todo.pop()
+        lo, hi, path, depth = node["lo"], node["hi"], node["path"], node["depth"]
+        if side is None:
+            on = alive < hi - 1  # a pair is found by the first of both
+            alive, overlap = alive[on], overlap[on]
+        if not len(alive):
+            continue
+        passed = overlap
+        if len(path):
+            a, each = start[path], start[path + 1] - start[path]
+            ends = np.cumsum(each)
+            total, at = np.zeros(len(walker), np.int64), 0
+            while at < len(path):  # a bounded number of places at a time
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] - each[at] + (1 << 20), "right")))
+                some = each[at:end]
+                total += np.bincount(holds[np.arange(int(some.sum())) + np.repeat(a[at:end] - (np.cumsum(some) - some), some)], minlength=len(walker))
+                at = end
+            overlap = overlap + total[alive]
+            passed = np.searchsorted(keys, alive * len(values) + path[-1], "right") - first[alive]
+        left = np.minimum(node["most"] - depth, size[alive] - np.maximum(passed, overlap))
+        best = overlap + left
+        on = den * best >= num * (size[alive] + np.maximum(node["least"], best) - best)
+        alive, overlap = alive[on], overlap[on]
+        for k in range(lo, node["ends"]):
+            hit = alive[(den * overlap >= num * (size[alive] + depth - overlap)) & ((alive < k) | (side is not None))]
+            own = int(leaf[k])
+            if len(hit) and len(earlier[own]):
+                elsewhere = np.zeros(len(walker), bool)
+                for e in earlier[own]:
+                    elsewhere[met.get(int(e), [])] = True
+                hit = hit[~elsewhere[hit]]
+            if len(hit):
+                who = walker[hit]
+                found[who] += weight[own]
+                found[own] += weight[who].sum()
+                if (label[who] != label[own]).any():
+                    label[np.isin(label, label[who])] = label[own]
+        if len(alive):
+            todo += [(child, alive, overlap) for child in node["under"]]
+    return label, found
+
+
+def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", part: int = PART, links: bool = True) -> DataFrame:
+    """(key, n_shingles, component, n_links) of every row: documents linked at Jaccard >= num / den over n-word shingles.
+
+    ``n_links`` is how many other rows the row is linked to; without ``links`` it is left out, and only the links that components need are looked for.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     made = classes(docs, n)
@@ -300,14 +381,19 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
     # Parts of each cluster, from the sizes of its sets alone.
     wanted = member.select("head").distinct()
     heads = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
-    reps = written(rows.where("size > 0").groupBy("sig").agg(F.min("key").alias("key"), F.max("size").alias("size")).withColumn(
-        "head", heads).join(wanted, "head").select("key", "head", "size"), "class-texts")
+    reps = written(rows.where("size > 0").groupBy("sig").agg(F.min("key").alias("key"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies")).withColumn(
+        "head", heads).join(wanted, "head").select("key", "head", "size", *(("sig", "copies") if links else ())), "class-texts")
     per = member.join(reps.select("head", "size"), "head").groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("tokens"))
     parts = per.select("leader", F.greatest(F.ceil(F.col("members") / part), F.ceil(F.col("tokens") / PART_TOKENS)).cast("int").alias("parts"))
     placed = member.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int"))
     # The leader is a member of its own cluster; of a cut cluster, of every part.
     also = parts.where("parts > 1").select(F.col("leader"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("head"))
-    placed = written(placed.select("leader", "parts", "part", "head").unionByName(also), "places")
+    placed = placed.select("leader", "parts", "part", "head").unionByName(also)
+    if links:
+        led = member.groupBy("head").agg(F.collect_list("leader").alias("leaders"))
+        placed = placed.distinct().join(led, "head").withColumn("earlier", F.filter("leaders", lambda x: x < F.col("leader"))).drop("leaders").join(
+            reps.select("head", "sig", "copies"), "head")
+    placed = written(placed, "places")
 
     # One text of every class in a cluster, as its set.
     def sendable(df: DataFrame) -> DataFrame:
@@ -323,7 +409,7 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
                                    "tokens": pa.array([s.tobytes() for s in got], pa.binary())})
 
     held = texts.select("text").mapInArrow(as_sets, "sig binary, head long, tokens binary")
-    own = held.join(sendable(placed), "head")
+    own = held.join(sendable(placed), ["head", "sig"] if links else "head")
 
     def unpack(pdf: pd.DataFrame) -> tuple[list[bytes], list[np.ndarray]]:
         seen = dict(zip(map(bytes, pdf["sig"]), pdf["tokens"], strict=True))
@@ -358,20 +444,56 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
         return pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object), "sig": pd.Series(sig, dtype=object),
                              "leader": pd.array(by, dtype="Int64"), "far": pd.Series(far, dtype=float)})
 
+    if links:
+        edges, counts = _all_links(own, num, den, forest)
+    else:
+        edges, counts = _of_components(own, held, parts, within, num, den, part, unpack, forest), None
+    roots = components(edges)
+    # Each class's root (itself without links), then the least document id of the root.
+    known = rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    linked = known.where("size > 0")
+    least = linked.groupBy("root").agg(F.min("key").alias("component"))
+    out = linked.join(least, "root")
+    alone = known.where("size = 0").withColumn("component", F.col("key"))
+    if links:
+        # The other rows of its own class, and all rows of classes linked to it.
+        per = rows.where("size > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies")).join(counts, "sig", "left").select(
+            "sig", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        out, alone = out.join(per, "sig"), alone.withColumn("n_links", F.lit(0).cast("long"))
+    more = ["n_links"] if links else []
+    out = out.select("key", "size", "component", *more).unionByName(alone.select("key", "size", "component", *more))
+    return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component", *more)
+
+
+def _all_links(own: DataFrame, num: int, den: int, forest) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) that give the components of all links, and (sig, links) of the classes with links to others."""
+
+    def found(pdf: pd.DataFrame, side: bool) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("sig").sort_values("sig")
+        sigs, members = list(map(bytes, pdf["sig"])), [np.frombuffer(t, _U) for t in pdf["tokens"]]
+        label, links = links_of(members, num, den, pdf["copies"].to_numpy(), list(pdf["earlier"]), (pdf["part"] == pdf["b"]).to_numpy().astype(int) if side else None)
+        out = [(u, v, None, None) for u, v in forest(sigs, label)] + [(None, None, sigs[k], int(links[k])) for k in np.flatnonzero(links)]
+        u, v, sig, n = zip(*out, strict=True) if out else ((),) * 4
+        return pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object), "sig": pd.Series(sig, dtype=object), "links": pd.array(n, dtype="Int64")})
+
+    schema = "u binary, v binary, sig binary, links long"
+    every = own.groupBy("leader", "part").applyInPandas(lambda pdf: found(pdf, False), schema)
+    # The leader has met all members, as it is in every part. Each other member goes to all pairs of parts with its own; a pair is one task.
+    sent = own.where("parts > 1 and head != leader").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other != part").withColumns(
+        {"a": F.least("part", "other"), "b": F.greatest("part", "other")})
+    every = written(every.unionByName(sent.groupBy("leader", "a", "b").applyInPandas(lambda pdf: found(pdf, True), schema)), "links")
+    return every.where("u is not null").select("u", "v"), every.where("sig is not null").groupBy("sig").agg(F.sum("links").alias("links"))
+
+
+def _of_components(own: DataFrame, held: DataFrame, parts: DataFrame, within, num: int, den: int, part: int, unpack, forest) -> DataFrame:
+    """As many links (u, v) as the components need."""
     grouped = own.groupBy("leader", "part")
     first = written(grouped.applyInPandas(within, "u binary, v binary, sig binary, leader long, far double"), "links")
     edges = first.where("u is not null").select("u", "v")
     cut = parts.where("parts > 1").select("leader")
     if cut.limit(1).count():
         edges = edges.unionByName(_between(first, held, cut, num, den, part, unpack, forest))
-    roots = components(edges)
-    # Each class's root (itself without links), then the least document id of the root.
-    known = rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    linked = known.where("size > 0")
-    least = linked.groupBy("root").agg(F.min("key").alias("component"))
-    out = linked.join(least, "root").select("key", "size", "component").unionByName(
-        known.where("size = 0").select("key", "size", F.col("key").alias("component")))
-    return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component")
+    return edges
 
 
 def _between(first: DataFrame, held: DataFrame, cut: DataFrame, num: int, den: int, part: int, unpack, forest) -> DataFrame:
@@ -412,7 +534,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key:
 
     Rows with empty sets, and rows with a null id, all stay; of rows that repeat an id one stays.
     """
-    found = written(joined(docs, n, num, den, key, text), "joined")
+    found = written(joined(docs, n, num, den, key, text, links=False), "joined")
     stay = found.where(F.col(key) == F.col("component")).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     many = stay.where("_n > 1").select("_key")
     if not many.limit(1).count():

@@ -95,7 +95,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.joined(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
-    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "n_links")
 
 
 @query("op4_decontamination")

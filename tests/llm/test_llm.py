@@ -172,6 +172,21 @@ def test_ngram_join(docs, none, n, num, den, part):
         assert ngram_join.joined(none, n, num, den).count() == 0
 
 
+@pytest.mark.parametrize("n,num,den,part", [(3, 90, 100, 2000), (5, 80, 100, 4), (2, 50, 100, 3)])
+def test_ngram_join_links(docs, n, num, den, part):
+    """Every linked pair counts, also between texts of one component, copies, parts of a cluster and several clusters."""
+    known = docs.where("doc_id is not null")
+    sets = []
+    for r in rows():
+        w = WORD.findall((r[1] or "").translate(LOWER))
+        sets.append((r[0], {tuple(w[i:i + n]) for i in range(max(len(w) - n + 1, min(len(w), 1)))}))
+    sets = [(k, s) for k, s in sets if k is not None]
+    want = sorted((k, sum(bool(s) and i != j and den * len(s & o) >= num * len(s | o) for j, (_, o) in enumerate(sets))) for i, (k, s) in enumerate(sets))
+    out = ngram_join.joined(known, n, num, den, part=part).collect()
+    assert sorted((r.doc_id, r.n_links) for r in out) == want and max(x for _, x in want) > 3
+    assert {r.doc_id: (r.n_shingles, r.component) for r in out} == components([(r[0], r[1]) for r in rows() if r[0] is not None], n, num, den)
+
+
 def test_ngram_join_hot_shingles(docs, monkeypatch):
     """The way of shingles too frequent for one task gives the same."""
     monkeypatch.setattr(ngram_join, "HOT", 1)
