@@ -187,3 +187,27 @@ def average_by_position_q(spark: SparkSession, sf: str) -> DataFrame:
     )
     a = average_by_position(cells, "pos", "value", 32)
     return a.select("pos", F.round("avg_value", 6).alias("avg_value"))
+
+
+@register(
+    "average_by_position_all",
+    "O57",
+    """
+WITH cells AS (
+  SELECT (p - 1) AS pos, embedding[p]::DOUBLE AS value
+  FROM (SELECT embedding, unnest(generate_series(1, len(embedding))) AS p FROM embeddings)
+),
+positions AS (SELECT range::INTEGER AS pos FROM range(0, 33))
+SELECT p.pos, round(coalesce(avg(c.value), 0.0), 6) AS avg_value, count(c.value) AS n_values
+FROM positions p LEFT JOIN cells c ON c.pos = p.pos GROUP BY p.pos
+""",
+)
+def average_by_position_all_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all rows; ``average_by_position`` reads those of five labels."""
+    cells = table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("pos", "value")).select(
+        "pos", F.col("value").cast("double").alias("value")
+    )
+    a = average_by_position(cells, "pos", "value", 32)
+    n = cells.groupBy("pos").agg(F.count("value").alias("n_values"))
+    return a.join(n, "pos", "left").select("pos", F.round("avg_value", 6).alias("avg_value"),
+                                           F.coalesce("n_values", F.lit(0)).alias("n_values"))

@@ -107,3 +107,15 @@ def test_kl_and_logit_diff(spark):
 def test_smallest_prefix(spark):
     e = spark.createDataFrame([(i, float(s)) for i, s in enumerate([5, 3, 1, 1])], "edge_id long, score double")
     assert smallest_prefix(ranked_scores(e, "score", ["edge_id"]), 0.8).first()["n"] == 2
+
+
+def test_average_by_position_reads_all_rows(spark):
+    from mnemo.plans.catalog import load_all
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()
+    got = {r.pos: (r.avg_value, r.n_values) for r in load_all()["average_by_position_all"].fn(spark, sf).collect()}
+    for pos in range(33):
+        values = [float(r.embedding[pos]) for r in rows if len(r.embedding) > pos]
+        assert got[pos][1] == len(values)
+        assert abs(got[pos][0] - (sum(values) / len(values) if values else 0.0)) < 2e-6
