@@ -24,6 +24,19 @@ def prompt_table(docs: DataFrame, prompt_tokens: int, generation_tokens: int, id
     )
 
 
+def prompt_table_all(docs: DataFrame, prompt_tokens: int, generation_tokens: int, id_col: str = "doc_id",
+                     text_col: str = "text", keep=()) -> DataFrame:
+    """O26 + O27 of every row: those of fewer than P+G tokens stay with what they have, ``status`` 'short' (else 'full')."""
+    toks = docs.select(id_col, *keep, F.coalesce(tokenize(text_col), F.array().cast("array<string>")).alias("tokens"))
+    return toks.select(
+        id_col,
+        *keep,
+        context_part("tokens", prompt_tokens).alias("context"),
+        completion_part("tokens", prompt_tokens, generation_tokens).alias("true_completion"),
+        F.when(F.size("tokens") >= prompt_tokens + generation_tokens, "full").otherwise("short").alias("status"),
+    )
+
+
 def score_prompts(prompts: DataFrame, model: DataFrame, k: int, generation_tokens: int) -> DataFrame:
     """O29 + O31: greedy completion of each context, scored against the true completion."""
     done = greedy_complete(prompts, model, k, "context", generation_tokens)

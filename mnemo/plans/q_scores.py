@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import concat_sequences, detokenize
 from ..operators.completion import attach_completions, train_next_token
-from ..operators.memorization import memorization_scores, prompt_table, score_summary, top_scores
+from ..operators.memorization import memorization_scores, prompt_table, prompt_table_all, score_summary, top_scores
 from ..operators.relational import high_scores, low_scores, perfect_scores
 from .catalog import register
 from .sqlparts import model_ctes, scores_ctes, tokens_sql
@@ -106,6 +106,23 @@ def prompt_split(spark: SparkSession, sf: str) -> DataFrame:
                     F.size(concat_sequences("context", "true_completion")).alias("whole_len"))
 
 
+@register(
+    "prompt_split_50_50",
+    "O26 O27 O28 O32",
+    f"""WITH d AS (SELECT doc_id, coalesce({tokens_sql('text')}, []) AS toks FROM documents)
+SELECT doc_id, array_to_string(list_slice(toks, 1, 50), ' ') AS decoded_context,
+       array_to_string(list_slice(toks, 51, 100), ' ') AS decoded_true_completion,
+       least(len(toks), 100) AS whole_len, CASE WHEN len(toks) >= 100 THEN 'full' ELSE 'short' END AS status
+FROM d""",
+)
+def prompt_split_50_50(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's 50/50, with short documents kept."""
+    p = prompt_table_all(table(spark, sf, "documents"), 50, 50)
+    return p.select("doc_id", detokenize("context").alias("decoded_context"),
+                    detokenize("true_completion").alias("decoded_true_completion"),
+                    F.size(concat_sequences("context", "true_completion")).alias("whole_len"), "status")
+
+
 @register(
     "ngram_model",
     "O29",

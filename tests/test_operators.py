@@ -119,3 +119,13 @@ def test_average_by_position_reads_all_rows(spark):
         values = [float(r.embedding[pos]) for r in rows if len(r.embedding) > pos]
         assert got[pos][1] == len(values)
         assert abs(got[pos][0] - (sum(values) / len(values) if values else 0.0)) < 2e-6
+
+
+def test_prompt_split_keeps_short_documents(spark):
+    from mnemo.operators.memorization import prompt_table_all
+
+    texts = [None, "", "a b", "a b c", "a b c d", "a b c d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.context, r.true_completion, r.status) for r in prompt_table_all(docs, 2, 2).orderBy("doc_id").collect()]
+    assert got == [([], [], "short"), ([], [], "short"), (["a", "b"], [], "short"), (["a", "b"], ["c"], "short"),
+                   (["a", "b"], ["c", "d"], "full"), (["a", "b"], ["c", "d"], "full")]
