@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, learn, ngram_join, pii, quality_rules, rule_ensemble, sharding, toxicity, url_reputation, warc
+from . import bpe, decontaminate, filter_audit, learn, ngram_join, pii, quality_rules, rule_ensemble, sharding, toxicity, url_reputation, warc
 from .textops import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", "first_word", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
+@query("op13_filter_audit", filter_audit.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
