@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, filter_audit, learn, ngram_join, pii, quality_rules, rule_ensemble, sharding, toxicity, url_reputation, warc
+from . import bpe, decontaminate, filter_audit, learn, mih, ngram_join, pii, quality_rules, rule_ensemble, sharding, toxicity, url_reputation, warc, whitening
 from .textops import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_filter_audit", filter_audit.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    # null where the exact value needs more than a long (from about 100 million rows on)
+    return out.select(F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query("op11_mih_neighbours")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mih.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
