@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .textops import _U, Words, blocks, mix, shingles, words
 
@@ -220,9 +221,9 @@ def _passes(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, list[
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
           radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """(key, item, first word, words, similarity, distance) of every document and item that it holds."""
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, {item_key} {items.schema[item_key].dataType.simpleString()}, first_word int, n_words int, similarity double, distance int"
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, first_word int, n_words int, similarity double, distance int"
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    item_type = pa.int64() if items.schema[item_key].dataType.simpleString() == "bigint" else None
+    item_type = to_arrow_type(items.schema[item_key].dataType)
     out = None
     counts = docs.sparkSession.sparkContext.broadcast(_counts(items, item_text))
     for ids, texts in _passes(items, item_key, item_text):

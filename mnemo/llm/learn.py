@@ -17,11 +17,13 @@ def held_out(key: str, folds: int, which: int) -> Column:
 def labelled_sample(docs: DataFrame, known: DataFrame, rows: int, key: str = "doc_id", text: str = "text", seed: int = 5) -> DataFrame:
     """At most ``rows`` labelled texts, written: those whose ids hash lowest, whatever the input's size.
 
-    ``known`` (key, label) is cut to ``rows`` ids by a top-k, so it may be broadcast; one row an id.
+    ``known`` (key, label) is cut to ``rows`` ids by a top-k, so it may be broadcast; one row an id, with its
+    largest label. Of documents that repeat an id the least text counts (null before all).
     """
     picked = known.groupBy(key).agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rows)
     picked = written(picked, "labelled")
-    return written(docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(picked), key), "sample").limit(2 * rows)
+    found = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(picked), key)
+    return written(found.groupBy(key).agg(F.min(F.struct("text", "label")).alias("row")).select(key, "row.*"), "sample")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -67,16 +67,16 @@ def statistics(texts: pa.Array) -> np.ndarray:
                      distinct / each, distinct_windows / np.maximum(m, 1), longest, most / each], axis=1).astype(float)
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with ``stat_*`` columns in place of the text column."""
+def with_statistics(docs: DataFrame, text: str = "text", into: str = "statistics") -> DataFrame:
+    """The rows with one struct column of the statistics in place of the text column."""
     names = [f.name for f in docs.schema.fields if f.name != text]
-    made = [f"stat_{s}" for s in STATISTICS]
-    schema = ", ".join([*(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in names), *(f"`{x}` double" for x in made)])
+    fields = ", ".join(f"{s}: double" for s in STATISTICS)
+    schema = ", ".join([*(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in names), f"`{into}` struct<{fields}>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text):
-            s = statistics(b.column(text))
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), *(pa.array(c) for c in s.T)], names=[*names, *made])
+            made = pa.StructArray.from_arrays([pa.array(c) for c in statistics(b.column(text)).T], names=list(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), made], names=[*names, into])
 
     return docs.mapInArrow(run, schema)
 
@@ -136,25 +136,27 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 11) -> tuple[list[tuple[Rule
 
 def fit(docs: DataFrame, known: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> tuple[list[tuple[Rule, float]], float]:
     sample = labelled_sample(docs, known, rows, key, text)
-    got = with_statistics(sample.select("label", "text")).toPandas()  # at most ``rows`` rows of a few numbers
+    got = with_statistics(sample.select("label", "text")).select("label", "statistics.*").toPandas()  # at most ``rows`` rows of a few numbers
     got = got.sort_values(list(got.columns)).reset_index(drop=True)
-    return train(got[[f"stat_{s}" for s in STATISTICS]].to_numpy(float), got["label"].to_numpy(int))
+    return train(got[list(STATISTICS)].to_numpy(float), got["label"].to_numpy(int))
 
 
-def expression(model: tuple[list[tuple[Rule, float]], float]) -> Column:
-    """The model as a Spark expression over the ``stat_*`` columns."""
+def expression(model: tuple[list[tuple[Rule, float]], float], of: str = "statistics") -> Column:
+    """The model as a Spark expression over the struct column of statistics."""
     rules, bias = model
     z = F.lit(bias)
     for rule, weight in rules:
         cond = F.lit(True)
         for k, above, cut in rule:
-            c = F.col(f"stat_{STATISTICS[k]}")
+            c = F.col(f"`{of}`.{STATISTICS[k]}")
             cond = cond & ((c > cut) if above else (c <= cut))
         z = z + F.when(cond, weight).otherwise(0.0)
     return 1 / (1 + F.exp(-z))
 
 
 def scored(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float], text: str = "text", into: str = "score") -> DataFrame:
-    """The rows with the probability of good quality, in place of the text column."""
-    made = with_statistics(docs.drop(into), text)
-    return made.withColumn(into, expression(model)).drop(*[f"stat_{s}" for s in STATISTICS])
+    """The rows with the probability of good quality, in place of the text column; a column called ``into`` is replaced."""
+    at = "statistics"
+    while at in docs.columns or at == into:
+        at += "_"
+    return with_statistics(docs.drop(into) if into != text else docs, text, at).withColumn(into, expression(model, at)).drop(at)

@@ -43,7 +43,7 @@ def features(texts: pa.Array, weight: np.ndarray | None = None) -> tuple[np.ndar
     acc = np.zeros(len(raw), np.uint32)
     found = []
     for k in range(max(ORDERS)):
-        acc[: len(raw) - k] += value[k:] * np.uint32(pow(0x85EBCA6B, k + 1, 1 << 32))
+        acc[: max(len(raw) - k, 0)] += value[k:] * np.uint32(pow(0x85EBCA6B, k + 1, 1 << 32))
         if k + 1 in ORDERS:
             slot = ((acc ^ (acc >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(12)
             ok = left > k
@@ -108,7 +108,8 @@ def fit(docs: DataFrame, known: DataFrame, rows: int = TRAIN_ROWS, key: str = "d
         for b in batches:
             texts += [t or "" for t in b.column("text").to_pylist()]
             y += b.column("label").to_pylist()
-        model = train(texts, np.array(y, np.int64))
+        order = sorted(range(len(y)), key=lambda k: (texts[k], y[k]))  # the same sums whatever order the rows come in
+        model = train([texts[k] for k in order], np.array(y, np.int64)[order] if order else np.zeros(0, np.int64))
         yield pa.record_batch({"weight": pa.array([model.weight.tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64())})
 
     row = sample.select("text", "label").coalesce(1).mapInArrow(one, "weight binary, bias double").collect()
