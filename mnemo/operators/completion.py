@@ -2,9 +2,9 @@
 
 The reference asks a language model for a greedy continuation. Here the "model" is a table:
 for every context of 1..k tokens seen in the training corpus, the most frequent next token
-(ties: smallest token). A continuation is a walk over that table, one join per generated
-token. Only the frontier (one row per distinct start state) is shuffled per step: the model is
-hash-partitioned on ``state`` once and reused, so its partitioning satisfies every step's join.
+(ties: smallest token). A continuation is a walk over that table. As the next state depends on the
+state alone, walks are taken by pointer doubling: tables of jumps of 1, 2, 4, ... steps, then each
+walk's steps are filled in from the longest jump down, in about 2 * log2(G) joins instead of G.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import tokenize
-from ..session import bucketed_table, cut_lineage
+from ..session import materialized
 
 
 def state_key(state_tokens) -> Column:
@@ -62,49 +62,47 @@ def train_next_token(corpus: DataFrame, k: int = 3, text_col: str = "text", min_
     return best.select("state", F.col("b.next").alias("next"), (-F.col("b.neg_cnt")).alias("cnt"))
 
 
-def greedy_walk(starts: DataFrame, model: DataFrame, k: int, checkpoint_every: int = 8) -> DataFrame:
+def next_states(model: DataFrame, k: int) -> DataFrame:
+    """Jumps of one step: ``(state, end)``, the state after its next token (its last k tokens)."""
+    after = last_tokens(F.concat(F.split("state", " "), F.array("next")), k)
+    return model.select("state", state_key(after).alias("end"))
+
+
+def jump_tables(model: DataFrame, k: int, steps: int) -> list[DataFrame]:
+    """Tables ``(state, end)`` of jumps of 1, 2, 4, ... steps, none longer than ``steps``; states whose walk ends before are not in them.
+
+    Each is written once and has at most one row per state of the model.
+    """
+    tables = [materialized(next_states(model, k), "jumps")]
+    while 2 ** len(tables) <= steps:
+        one = tables[-1]
+        two = one.select(F.col("state").alias("_from"), F.col("end").alias("state")).join(one, "state")
+        tables.append(materialized(two.select(F.col("_from").alias("state"), "end"), "jumps"))
+    return tables
+
+
+def greedy_walk(starts: DataFrame, model: DataFrame, k: int) -> DataFrame:
     """Walk the model from each start state.
 
-    ``starts``: ``(start STRING, st ARRAY<STRING>, need INT)`` with distinct ``start``
-    (``st`` = the start-state tokens, at most k). Returns ``(start, generated ARRAY<STRING>)``
-    with up to ``need`` tokens; a state with no continuation ends the walk early.
+    ``starts``: ``(start STRING, need INT)`` with distinct ``start``, the start state's key. Returns
+    ``(start, generated ARRAY<STRING>)`` with up to ``need`` tokens; a state with no continuation ends the walk early.
 
-    The steps chain lazily into one plan (one frontier exchange per step). A finished row's join
-    key is a blank and its start, which no state equals and which spreads such rows over all tasks.
-    A reliable checkpoint every ``checkpoint_every`` steps bounds the lineage; finished rows are
-    set aside there.
+    Known steps of a walk, at first step 0, are doubled by the table of each jump from the longest down: after
+    the jump of 2**j every step that is a multiple of 2**j is known. The token of a step is the last one of its state, so
+    jumps carry no tokens. Rows: at most one a walk and step.
     """
-    # Materialize the model once as a table bucketed on the join key: every step then
-    # shuffles only the frontier and reads the model buckets in place (or broadcasts the
-    # model when the planner measures it below the broadcast threshold).
-    model = bucketed_table(model.select("state", "next"), "state", name="ngram_model")
-    frontier = starts.select(
-        "start", "st", "need", F.array().cast("array<string>").alias("gen"), F.lit(False).alias("dead")
-    )
-    max_need = starts.agg(F.max("need")).first()[0] or 0
-    active = ~F.col("dead") & (F.size("gen") < F.col("need"))
-    aside = []
-    for step in range(max_need):
-        key = F.when(active, state_key(F.col("st"))).otherwise(F.concat(F.lit(" "), "start"))
-        stepped = frontier.withColumn("walks", active).withColumn("state", key).join(model, "state", "left")
-        frontier = stepped.select(
-            "start",
-            "need",
-            F.when(F.col("next").isNull(), F.col("st")).otherwise(
-                last_tokens(F.concat(F.col("st"), F.array(F.col("next"))), k)
-            ).alias("st"),
-            F.when(F.col("next").isNull(), F.col("gen")).otherwise(
-                F.concat(F.col("gen"), F.array(F.col("next")))
-            ).alias("gen"),
-            (F.col("dead") | (F.col("walks") & F.col("next").isNull())).alias("dead"),
-        )
-        if checkpoint_every and (step + 1) % checkpoint_every == 0 and step + 1 < max_need:
-            frontier = cut_lineage(frontier)
-            aside.append(frontier.where(~active))
-            frontier = frontier.where(active)
-    for done in aside:
-        frontier = frontier.unionByName(done)
-    return frontier.select("start", F.col("gen").alias("generated"))
+    starts = materialized(starts.select("start", "need"), "walk-starts")
+    most = starts.agg(F.max("need")).first()[0] or 0
+    known = starts.select("start", "need", F.lit(0).alias("step"), F.col("start").alias("state"))
+    tables = jump_tables(model, k, most) if most > 0 else []
+    for j in reversed(range(len(tables))):
+        far = known.where(F.col("step") + 2**j <= F.col("need")).join(tables[j], "state")
+        far = far.select("start", "need", (F.col("step") + 2**j).alias("step"), F.col("end").alias("state"))
+        known = known.unionByName(materialized(far, "walk-steps"))
+    token = F.element_at(F.split("state", " "), -1)
+    walked = known.where("step > 0").select("start", F.struct("step", token.alias("token")).alias("at"))
+    walked = walked.groupBy("start").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["token"]).alias("generated"))
+    return starts.select("start").join(walked, "start", "left").select("start", F.coalesce("generated", F.array().cast("array<string>")).alias("generated"))
 
 
 def greedy_complete(prompts: DataFrame, model: DataFrame, k: int, context_col: str, need) -> DataFrame:
@@ -114,17 +112,13 @@ def greedy_complete(prompts: DataFrame, model: DataFrame, k: int, context_col: s
     Walks are computed once per distinct start state (copies share them) and sliced back.
     """
     need_col = F.lit(need) if isinstance(need, int) else F.col(need)
-    with_start = prompts.withColumn("_st", last_tokens(F.col(context_col), k)).withColumn(
-        "_start", state_key(F.col("_st"))
-    ).withColumn("_need", need_col.cast("int"))
-    starts = with_start.groupBy(F.col("_start").alias("start")).agg(
-        F.first("_st").alias("st"), F.max("_need").alias("need")
-    )
+    with_start = prompts.withColumn("_start", state_key(last_tokens(F.col(context_col), k))).withColumn("_need", need_col.cast("int"))
+    starts = with_start.groupBy(F.col("_start").alias("start")).agg(F.max("_need").alias("need"))
     walks = greedy_walk(starts, model, k)
     joined = with_start.join(walks.withColumnRenamed("start", "_start"), "_start", "left")
     return joined.withColumn(
         "generated", F.slice(F.coalesce(F.col("generated"), F.array().cast("array<string>")), 1, F.col("_need"))
-    ).drop("_st", "_start", "_need")
+    ).drop("_start", "_need")
 
 
 def attach_completions(samples: DataFrame, completions: DataFrame, key: str, completion_col: str = "completion") -> DataFrame:

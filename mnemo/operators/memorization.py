@@ -11,22 +11,10 @@ from .completion import greedy_complete, train_next_token
 
 def prompt_table(docs: DataFrame, prompt_tokens: int, generation_tokens: int, id_col: str = "doc_id",
                  text_col: str = "text", keep=()) -> DataFrame:
-    """O26 + O27: rows with at least P+G tokens, split into context and true completion.
+    """O26 + O27 of every row: ``context`` and ``true_completion`` as far as the text goes.
 
-    Shorter rows are excluded (no padding, SURVEY S3).
+    ``status`` is 'short' for rows of fewer than P+G tokens (null and empty texts have none), else 'full'.
     """
-    toks = docs.select(id_col, *keep, tokenize(text_col).alias("tokens"))
-    return toks.where(F.size("tokens") >= prompt_tokens + generation_tokens).select(
-        id_col,
-        *keep,
-        context_part("tokens", prompt_tokens).alias("context"),
-        completion_part("tokens", prompt_tokens, generation_tokens).alias("true_completion"),
-    )
-
-
-def prompt_table_all(docs: DataFrame, prompt_tokens: int, generation_tokens: int, id_col: str = "doc_id",
-                     text_col: str = "text", keep=()) -> DataFrame:
-    """O26 + O27 of every row: those of fewer than P+G tokens stay with what they have, ``status`` 'short' (else 'full')."""
     toks = docs.select(id_col, *keep, F.coalesce(tokenize(text_col), F.array().cast("array<string>")).alias("tokens"))
     return toks.select(
         id_col,
@@ -38,7 +26,11 @@ def prompt_table_all(docs: DataFrame, prompt_tokens: int, generation_tokens: int
 
 
 def score_prompts(prompts: DataFrame, model: DataFrame, k: int, generation_tokens: int) -> DataFrame:
-    """O29 + O31: greedy completion of each context, scored against the true completion."""
+    """O29 + O31: greedy completion of each context, scored against the true completion.
+
+    Every row is continued by G tokens and its matches are divided by G: what a short text lacks counts as
+    padding, which no continuation matches.
+    """
     done = greedy_complete(prompts, model, k, "context", generation_tokens)
     return done.withColumnRenamed("generated", "completion").withColumn(
         "memorization_score", memorization_score("completion", "true_completion", generation_tokens)
@@ -48,8 +40,7 @@ def score_prompts(prompts: DataFrame, model: DataFrame, k: int, generation_token
 def memorization_scores(docs: DataFrame, training_docs: DataFrame, prompt_tokens: int = 30,
                         generation_tokens: int = 10, k: int = 3, keep=()) -> DataFrame:
     """Whole stage 1: D3 records (decoded columns are the space-joined tokens)."""
-    # Prompts have P >= k tokens, so walks only ever look up full k-token contexts.
-    model = train_next_token(training_docs, k, min_order=min(k, prompt_tokens))
+    model = train_next_token(training_docs, k)
     prompts = prompt_table(docs, prompt_tokens, generation_tokens, keep=keep)
     scored = score_prompts(prompts, model, k, generation_tokens)
     return scored.select(
@@ -62,6 +53,7 @@ def memorization_scores(docs: DataFrame, training_docs: DataFrame, prompt_tokens
         "true_completion",
         detokenize("true_completion").alias("decoded_true_completion"),
         "memorization_score",
+        "status",
     )
 
 

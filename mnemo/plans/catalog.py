@@ -40,6 +40,7 @@ def load_all() -> dict[str, Query]:
     from . import (  # noqa: F401
         q_bleu,
         q_circuits,
+        q_corrupt,
         q_divergence,
         q_entities,
         q_flow,

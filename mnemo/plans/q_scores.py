@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import concat_sequences, detokenize
 from ..operators.completion import attach_completions, train_next_token
-from ..operators.memorization import memorization_scores, prompt_table, prompt_table_all, score_summary, top_scores
+from ..operators.memorization import memorization_scores, prompt_table, score_summary, top_scores
 from ..operators.relational import high_scores, low_scores, perfect_scores
 from .catalog import register
 from .sqlparts import model_ctes, scores_ctes, tokens_sql
@@ -90,37 +90,42 @@ def completions_joined(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "decoded_completion", "decoded_true_completion")
 
 
-@register(
-    "prompt_split",
-    "O26 O27 O28 O32",
-    f"""WITH d AS (SELECT doc_id, {tokens_sql('text')} AS toks FROM documents)
-SELECT doc_id, array_to_string(list_slice(toks, 1, {P}), ' ') AS decoded_context,
-       array_to_string(list_slice(toks, {P} + 1, {P} + {G}), ' ') AS decoded_true_completion,
-       len(list_concat(list_slice(toks, 1, {P}), list_slice(toks, {P} + 1, {P} + {G}))) AS whole_len
-FROM d WHERE len(toks) >= {P} + {G}""",
-)
-def prompt_split(spark: SparkSession, sf: str) -> DataFrame:
-    p = prompt_table(table(spark, sf, "documents"), P, G)
+def _split_sql(p: int, g: int) -> str:
+    return f"""WITH d AS (SELECT doc_id, coalesce({tokens_sql('text')}, []) AS toks FROM documents)
+SELECT doc_id, array_to_string(list_slice(toks, 1, {p}), ' ') AS decoded_context,
+       array_to_string(list_slice(toks, {p} + 1, {p} + {g}), ' ') AS decoded_true_completion,
+       least(len(toks), {p} + {g}) AS whole_len, CASE WHEN len(toks) >= {p} + {g} THEN 'full' ELSE 'short' END AS status
+FROM d"""
+
+
+def _split(spark: SparkSession, sf: str, prompt_tokens: int, generation_tokens: int) -> DataFrame:
+    p = prompt_table(table(spark, sf, "documents"), prompt_tokens, generation_tokens)
     return p.select("doc_id", detokenize("context").alias("decoded_context"),
                     detokenize("true_completion").alias("decoded_true_completion"),
-                    F.size(concat_sequences("context", "true_completion")).alias("whole_len"))
+                    F.size(concat_sequences("context", "true_completion")).alias("whole_len"), "status")
+
+
+@register("prompt_split", "O26 O27 O28 O32", _split_sql(P, G))
+def prompt_split(spark: SparkSession, sf: str) -> DataFrame:
+    return _split(spark, sf, P, G)
+
+
+@register("prompt_split_50_50", "O26 O27 O28 O32", _split_sql(50, 50))
+def prompt_split_50_50(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's 50/50."""
+    return _split(spark, sf, 50, 50)
 
 
 @register(
-    "prompt_split_50_50",
-    "O26 O27 O28 O32",
-    f"""WITH d AS (SELECT doc_id, coalesce({tokens_sql('text')}, []) AS toks FROM documents)
-SELECT doc_id, array_to_string(list_slice(toks, 1, 50), ' ') AS decoded_context,
-       array_to_string(list_slice(toks, 51, 100), ' ') AS decoded_true_completion,
-       least(len(toks), 100) AS whole_len, CASE WHEN len(toks) >= 100 THEN 'full' ELSE 'short' END AS status
-FROM d""",
+    "scores_50_50",
+    "O26 O27 O29 O31",
+    f"""WITH RECURSIVE {scores_ctes(50, 50, K)}
+SELECT doc_id, status, round(memorization_score, 6) AS memorization_score, array_to_string(completion, ' ') AS decoded_completion FROM scores""",
 )
-def prompt_split_50_50(spark: SparkSession, sf: str) -> DataFrame:
-    """The reference's 50/50, with short documents kept."""
-    p = prompt_table_all(table(spark, sf, "documents"), 50, 50)
-    return p.select("doc_id", detokenize("context").alias("decoded_context"),
-                    detokenize("true_completion").alias("decoded_true_completion"),
-                    F.size(concat_sequences("context", "true_completion")).alias("whole_len"), "status")
+def scores_50_50(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of every document at the reference's 50/50."""
+    s = memorization_scores(table(spark, sf, "documents"), training_docs(spark, sf), 50, 50, K)
+    return s.select("doc_id", "status", F.round("memorization_score", 6).alias("memorization_score"), "decoded_completion")
 
 
 @register(

@@ -61,19 +61,20 @@ def walk_ctes(starts: str, k: int, max_steps: int, name: str = "walk") -> str:
 
 
 def match_count_sql(gen: str, truth: str) -> str:
-    return f"list_sum(list_transform(generate_series(1, len({truth})), lambda j: CASE WHEN {gen}[j] = {truth}[j] THEN 1 ELSE 0 END))"
+    return f"coalesce(list_sum(list_transform(generate_series(1, len({truth})), lambda j: CASE WHEN {gen}[j] = {truth}[j] THEN 1 ELSE 0 END)), 0)"
 
 
 def scores_ctes(P: int, G: int, k: int) -> str:
-    """CTEs up to ``scores(doc_id, context, completion, true_completion, memorization_score, in_training)``."""
+    """CTEs up to ``scores(doc_id, status, context, completion, true_completion, memorization_score, in_training)``."""
     return f"""
 {model_ctes(k)},
 doc_toks AS (
-  SELECT doc_id, {tokens_sql('text')} AS toks FROM documents
+  SELECT doc_id, coalesce({tokens_sql('text')}, []) AS toks FROM documents
 ),
 prompts AS (
-  SELECT doc_id, list_slice(toks, 1, {P}) AS context, list_slice(toks, {P} + 1, {P} + {G}) AS true_completion
-  FROM doc_toks WHERE len(toks) >= {P} + {G}
+  SELECT doc_id, list_slice(toks, 1, {P}) AS context, list_slice(toks, {P} + 1, {P} + {G}) AS true_completion,
+         CASE WHEN len(toks) >= {P} + {G} THEN 'full' ELSE 'short' END AS status
+  FROM doc_toks
 ),
 starts AS (
   SELECT doc_id AS wid, list_slice(context, greatest(len(context) - {k} + 1, 1), len(context)) AS st, {G} AS need
@@ -81,7 +82,7 @@ starts AS (
 ),
 {walk_ctes('starts', k, G)},
 scores AS (
-  SELECT p.doc_id, p.context, p.true_completion, coalesce(w.gen, []::VARCHAR[]) AS completion,
+  SELECT p.doc_id, p.status, p.context, p.true_completion, coalesce(w.gen, []::VARCHAR[]) AS completion,
          {match_count_sql('coalesce(w.gen, []::VARCHAR[])', 'p.true_completion')}::DOUBLE / {G} AS memorization_score,
          coalesce(l.quality = 1, false) AS in_training
   FROM prompts p LEFT JOIN walk_final w ON w.wid = p.doc_id

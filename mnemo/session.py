@@ -71,20 +71,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         df.unpersist()
 
 
-def bucketed_table(df: DataFrame, key: str, buckets: int | None = None, name: str = "t") -> DataFrame:
-    """Write ``df`` as a table bucketed on ``key`` under the shared folder and read it back.
-
-    Joins on ``key`` against this table shuffle only the other side, which matters when the
-    same large table is joined many times (one join per generated token).
-    """
-    import uuid
-
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table_name = f"mnemo_{name}_{uuid.uuid4().hex[:12]}"
-    path = scratch_path(spark, name)
-    df.write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table_name)
-    return spark.table(table_name)
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read back: cuts lineage, survives lost executors,
+    and gives what reads it several times sizes to plan with."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
