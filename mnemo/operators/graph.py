@@ -9,10 +9,11 @@ enumeration.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import scratch_path
 
 LEVEL_OFFSET = {"A": 1, "M": 2, "I": 3}
 
@@ -120,11 +121,35 @@ def edges_above(edges: DataFrame, threshold: float) -> DataFrame:
     return edges.where(F.col("weight") > threshold)
 
 
-def _max_level(edges: DataFrame) -> int:
-    return edges.agg(F.max("dst_level")).first()[0] or 0
+class _ByLevel:
+    """A table kept by level in the shared folder: a level is read alone, and rows are added for other levels.
+
+    As every edge goes to a higher level, a level is complete when its turn comes, so each row is looked at once and
+    the plan of a level does not hold those of the levels before.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, first: DataFrame, by: str = "level"):
+        self.spark, self.by, self.path = spark, by, scratch_path(spark, name)
+        fields = [f for f in first.schema.fields if f.name != by]
+        self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in [*fields, first.schema[by]]])
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("append").partitionBy(self.by).parquet(self.path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def at(self, level: int) -> DataFrame:
+        return self.all().where(F.col(self.by) == level)
+
+
+def _levels(edges: _ByLevel) -> list[int]:
+    """The levels that edges hang on, ascending; at most three a layer."""
+    return sorted(r[0] for r in edges.all().select(edges.by).distinct().collect())
 
 
-def best_to_target(edges: DataFrame, targets: DataFrame, threshold: float = 0.0, checkpoint_every: int = 4) -> DataFrame:
+def best_to_target(edges: DataFrame, targets: DataFrame, threshold: float = 0.0) -> DataFrame:
     """O96/O98 core: for every node, the heaviest path to its graph's target.
 
     ``targets(graph_id, node, level)``. Backward DP level by level (S21):
@@ -134,43 +159,32 @@ def best_to_target(edges: DataFrame, targets: DataFrame, threshold: float = 0.0,
     """
     if threshold < 0:
         raise ValueError("best path needs a non-negative threshold")
-    e = cut_lineage(edges_above(edges, threshold).select("graph_id", "src", "dst", "src_level", "weight"))
-    best = targets.select("graph_id", "node", "level", F.lit(0.0).alias("score"), F.col("node").alias("path"))
-    top = _max_level(edges)
-    for k, lvl in enumerate(range(top - 1, -1, -1)):
-        cand = e.where(F.col("src_level") == lvl).join(
-            best.select("graph_id", F.col("node").alias("dst"), "score", "path"), ["graph_id", "dst"]
-        )
+    spark = edges.sparkSession
+    e = _ByLevel(spark, "path-edges", edges_above(edges, threshold).select("graph_id", "src", "dst", "src_level", "weight"), "src_level")
+    best = _ByLevel(spark, "best-paths", targets.select("graph_id", "node", F.col("level").cast("int").alias("level"), F.lit(0.0).alias("score"), F.col("node").alias("path")))
+    for lvl in reversed(_levels(e)):
+        cand = e.at(lvl).join(best.all().select("graph_id", F.col("node").alias("dst"), "score", "path"), ["graph_id", "dst"])
         step = cand.groupBy("graph_id", F.col("src").alias("node")).agg(
             F.min(F.struct((-(F.col("weight") + F.col("score"))).alias("neg"),
-                           F.concat_ws(",", F.col("src"), F.col("path")).alias("path"))).alias("b")
-        ).select("graph_id", "node", F.lit(lvl).alias("level"), (-F.col("b.neg")).alias("score"),
-                 F.col("b.path").alias("path"))
-        best = best.unionByName(step)
-        if (k + 1) % checkpoint_every == 0:
-            best = cut_lineage(best)
-    return best.drop("level")
+                           F.concat_ws(",", F.col("src"), F.col("path")).alias("path"))).alias("b"))
+        best.add(step.select("graph_id", "node", F.lit(lvl).alias("level"), (-F.col("b.neg")).alias("score"), F.col("b.path").alias("path")))
+    return best.all().drop("level")
 
 
-def reach(edges: DataFrame, starts: DataFrame, forward: bool = True, threshold: float = 0.0,
-          checkpoint_every: int = 4) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, forward: bool = True, threshold: float = 0.0) -> DataFrame:
     """O95/O97 core: nodes reachable from (forward) or reaching (backward) each start.
 
     ``starts(graph_id, start, node, level)`` -> ``(graph_id, start, node)`` including the start.
     """
-    e = cut_lineage(edges_above(edges, threshold).select("graph_id", "src", "dst", "src_level", "dst_level"))
-    found = starts.select("graph_id", "start", "node", "level")
-    top = _max_level(edges)
-    levels = range(0, top + 1) if forward else range(top, -1, -1)
-    for k, lvl in enumerate(levels):
-        frontier = found.where(F.col("level") == lvl)
-        if forward:
-            nxt = frontier.join(e.withColumnRenamed("src", "node"), ["graph_id", "node"]).select(
-                "graph_id", "start", F.col("dst").alias("node"), F.col("dst_level").alias("level"))
-        else:
-            nxt = frontier.join(e.withColumnRenamed("dst", "node"), ["graph_id", "node"]).select(
-                "graph_id", "start", F.col("src").alias("node"), F.col("src_level").alias("level"))
-        found = found.unionByName(nxt).distinct()
-        if (k + 1) % checkpoint_every == 0:
-            found = cut_lineage(found)
-    return found.select("graph_id", "start", "node")
+    here, there = ("src", "dst") if forward else ("dst", "src")
+    kept = edges_above(edges, threshold).select(
+        "graph_id", F.col(here).alias("node"), F.col(there).alias("next"), F.col(f"{there}_level").cast("int").alias("next_level"), F.col(f"{here}_level").cast("int").alias("level"))
+    e = _ByLevel(edges.sparkSession, "reach-edges", kept)
+    found = _ByLevel(edges.sparkSession, "reached", starts.select("graph_id", "start", "node", F.col("level").cast("int").alias("level")))
+    levels = _levels(e)
+    for lvl in levels if forward else reversed(levels):
+        frontier = found.at(lvl).select("graph_id", "start", "node").distinct()  # found from several levels, looked at once
+        step = frontier.join(e.at(lvl).drop("level"), ["graph_id", "node"]).select(
+            "graph_id", "start", F.col("next").alias("node"), F.col("next_level").alias("level"))
+        found.add(step.distinct())
+    return found.all().select("graph_id", "start", "node").distinct()

@@ -37,12 +37,10 @@ def score_prompts(prompts: DataFrame, model: DataFrame, k: int, generation_token
     )
 
 
-def memorization_scores(docs: DataFrame, training_docs: DataFrame, prompt_tokens: int = 30,
-                        generation_tokens: int = 10, k: int = 3, keep=()) -> DataFrame:
-    """Whole stage 1: D3 records (decoded columns are the space-joined tokens)."""
-    model = train_next_token(training_docs, k)
-    prompts = prompt_table(docs, prompt_tokens, generation_tokens, keep=keep)
-    scored = score_prompts(prompts, model, k, generation_tokens)
+def scored_prompts(docs: DataFrame, model: DataFrame, prompt_tokens: int = 30, generation_tokens: int = 10, k: int = 3,
+                   keep=()) -> DataFrame:
+    """D3 records by a model trained before (decoded columns are the space-joined tokens)."""
+    scored = score_prompts(prompt_table(docs, prompt_tokens, generation_tokens, keep=keep), model, k, generation_tokens)
     return scored.select(
         "doc_id",
         *keep,
@@ -57,6 +55,12 @@ def memorization_scores(docs: DataFrame, training_docs: DataFrame, prompt_tokens
     )
 
 
+def memorization_scores(docs: DataFrame, training_docs: DataFrame, prompt_tokens: int = 30,
+                        generation_tokens: int = 10, k: int = 3, keep=()) -> DataFrame:
+    """Whole stage 1: a model of ``training_docs`` and the D3 records of ``docs``."""
+    return scored_prompts(docs, train_next_token(training_docs, k), prompt_tokens, generation_tokens, k, keep)
+
+
 def score_summary(scores: DataFrame, by=(), score_col: str = "memorization_score") -> DataFrame:
     """Count, mean and exact median of the score (optionally per group)."""
     aggs = [

@@ -47,6 +47,7 @@ def load_all() -> dict[str, Query]:
         q_io,
         q_match,
         q_patterns,
+        q_pipeline,
         q_relational,
         q_scores,
     )

@@ -19,7 +19,8 @@ from ..operators.circuits import (
     swap_roles,
     top_n_edges,
 )
-from ..operators.relational import global_rank, ratio
+from ..operators.relational import ratio
+from ..operators.tokens import dictionary
 from .catalog import register
 from .q_flow import _edges_sql, edges
 from .sqlparts import tokens_sql
@@ -80,27 +81,26 @@ def kl_to_clean_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _eval_pairs(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    user = c.where(F.col("role") == "user")
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), tokenize("text").alias("answers"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.array("text").alias("answers"))
     alt = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("corrupt"))
-    wrong = c.select("conv_id", (F.col("turn") - 3).alias("turn"), tokenize("text").alias("wrong_answers"))
-    pairs = user.select("conv_id", "turn", F.col("text").alias("clean")).join(alt, ["conv_id", "turn"]).join(
+    wrong = c.select("conv_id", (F.col("turn") - 3).alias("turn"), F.array("text").alias("wrong_answers"))
+    pairs = c.select("conv_id", "turn", F.col("text").alias("clean")).join(alt, ["conv_id", "turn"]).join(
         nxt, ["conv_id", "turn"], "left").join(wrong, ["conv_id", "turn"], "left")
-    toks = c.select(F.explode(tokenize("text")).alias("token")).distinct()
-    vocab = global_rank(toks, ["token"], "id").select("token", (F.col("id") - 1).alias("id"))
-    return pairs, vocab
+    return pairs, c
 
 
 EVAL_SQL = f"""
-c AS (SELECT conv_id, turn, role, text, {tokens_sql('text')} AS toks FROM conversations),
-vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT unnest(toks) AS token FROM c)),
+c AS (SELECT conv_id, turn, text, {tokens_sql('text')} AS toks FROM conversations),
+vocab AS (
+  SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS id
+  FROM (SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM c) GROUP BY token)
+),
 pairs AS (
   SELECT u.conv_id, u.turn, u.text AS clean, a.text AS corrupt, n.toks AS answers, w.toks AS wrong_answers
   FROM c u JOIN c a ON a.conv_id = u.conv_id AND a.turn = u.turn + 2
   LEFT JOIN c n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1
   LEFT JOIN c w ON w.conv_id = u.conv_id AND w.turn = u.turn + 3
-  WHERE u.role = 'user'
 )"""
 
 
@@ -112,12 +112,10 @@ SELECT p.conv_id, p.turn, coalesce(v1.id, -1) AS correct_token_id, coalesce(v2.i
 FROM pairs p LEFT JOIN vocab v1 ON v1.token = p.answers[1] LEFT JOIN vocab v2 ON v2.token = p.wrong_answers[1]""",
 )
 def eval_pairs_q(spark: SparkSession, sf: str) -> DataFrame:
-    pairs, vocab = _eval_pairs(spark, sf)
-    # answers are token lists here; first_answers takes their first element.
-    fa = first_answers(pairs)
-    ident = lambda col: F.array(col)  # noqa: E731  (answer is already one token)
-    out = first_token_id(F.col("correct_answer"), ident, vocab, "correct_token_id", fa)
-    out = first_token_id(F.col("incorrect_answer"), ident, vocab, "incorrect_token_id", out)
+    pairs, turns = _eval_pairs(spark, sf)
+    vocab = dictionary(turns.select(tokenize("text").alias("tokens")), "tokens").select("token", "id")
+    out = first_token_id(F.col("correct_answer"), tokenize, vocab, "correct_token_id", first_answers(pairs))
+    out = first_token_id(F.col("incorrect_answer"), tokenize, vocab, "incorrect_token_id", out)
     return out.select("conv_id", "turn", "correct_token_id", "incorrect_token_id")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.contributions import contributions, threshold_renormalize, vector_sum, with_one_off
+from ..operators.flow import attention_contributions, build_full_graph, component_contributions, mlp_contributions
 from ..operators.graph import best_to_target, edges_above, graph_edges, graph_nodes, level, reach
 from ..operators.relational import global_rank
 from .catalog import register
@@ -319,9 +320,157 @@ def edges_above_q(spark: SparkSession, sf: str) -> DataFrame:
     return edges_above(edges(spark, sf, False)[1], 0.1).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-@register("full_graph", "O81 O87 O93")
+# ---- graphs from vectors -----------------------------------------------------------------------
+
+# The residual stream before layer l at position p of graph g is embedding (g * LAYERS + l) * TOKENS + p. A head's part from key
+# position q <= p is the key's vector times (head + 1) / (2 * (1 + p - q)); the feed-forward block is half the positive part.
+LAYERS, TOKENS, HEADS, COMPONENTS = 2, 4, 2, 4
+
+
+def flow_vectors(spark: SparkSession, sf: str, parallel: bool) -> dict[str, DataFrame]:
+    """Part and whole vectors by name, for ``build_full_graph``."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    i = F.col("vec_id")
+    pre = table(spark, sf, "embeddings").select(
+        F.floor(i / (LAYERS * TOKENS)).alias("graph_id"), (F.floor(i / TOKENS) % LAYERS).cast("int").alias("layer"), (i % TOKENS).cast("int").alias("pos"), v.alias("vec"))
+    reach_of = F.explode(F.sequence(F.col("pos"), F.lit(TOKENS - 1)))
+    heads = F.explode(F.sequence(F.lit(0), F.lit(HEADS - 1)))
+    sent = pre.select("graph_id", "layer", F.col("pos").alias("key_pos"), reach_of.alias("pos"), "vec").join(pre.select("graph_id", "layer", "pos"), ["graph_id", "layer", "pos"])
+    weight = (F.col("head") + 1) / (2 * (1 + F.col("pos") - F.col("key_pos")))
+    attn = sent.withColumn("head", heads).select("graph_id", "layer", "pos", "key_pos", "head", F.transform("vec", lambda x: x * weight).alias("vec"))
+    place = ["graph_id", "layer", "pos"]
+    moved = vector_sum(attn.select(*place, "vec").unionByName(pre), place, "vec", "vec")
+    half = F.transform("vec", lambda x: F.greatest(x, F.lit(0.0)) * 0.5)
+    mlp = (pre if parallel else moved).select(*place, half.alias("vec"))
+    post = moved.withColumnRenamed("vec", "a").join(mlp.withColumnRenamed("vec", "b"), place).select(*place, F.zip_with("a", "b", lambda x, y: x + y).alias("vec"))
+    out = {"attn": attn, "resid_pre": pre, "mlp_out": mlp, "resid_post": post}
+    return out if parallel else out | {"resid_mid": moved}
+
+
+def _vectors_sql(parallel: bool) -> str:
+    return f"""
+pre AS MATERIALIZED (
+  SELECT vec_id // {LAYERS * TOKENS} AS g, vec_id // {TOKENS} % {LAYERS} AS l, vec_id % {TOKENS} AS p, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings
+),
+attn AS MATERIALIZED (
+  SELECT t.g, t.l, t.p, k.p AS q, h.head, list_transform(k.vec, lambda x: x * ((h.head + 1) / (2 * (1 + t.p - k.p))::DOUBLE)) AS vec
+  FROM pre t JOIN pre k ON k.g = t.g AND k.l = t.l AND k.p <= t.p JOIN (SELECT unnest(generate_series(0, {HEADS - 1})) AS head) h ON true
+),
+mid AS MATERIALIZED (
+  SELECT g, l, p, list(s ORDER BY d) AS vec FROM (
+    SELECT g, l, p, d, sum(x) AS s FROM (
+      SELECT g, l, p, unnest(generate_series(1, len(vec))) AS d, unnest(vec) AS x FROM (SELECT g, l, p, vec FROM attn UNION ALL SELECT g, l, p, vec FROM pre)
+    ) GROUP BY ALL
+  ) GROUP BY g, l, p
+),
+mlp AS MATERIALIZED (SELECT g, l, p, list_transform(vec, lambda x: greatest(x, 0.0) * 0.5) AS vec FROM {'pre' if parallel else 'mid'}),
+post AS MATERIALIZED (
+  SELECT m.g, m.l, m.p, list_transform(generate_series(1, len(m.vec)), lambda i: m.vec[i] + f.vec[i]) AS vec FROM mid m JOIN mlp f USING (g, l, p)
+)"""
+
+
+def _shares_sql(name: str, parts: list[str], whole: str, threshold: float | None = None) -> str:
+    """CTE ``name(g, l, p, kind, q, head, share)`` of the parts (selects of g, l, p, kind, q, head, vec)."""
+    share = "d / sum(d) OVER (PARTITION BY g, l, p)"
+    kept = f"{name}_raw" if threshold is not None else name
+    out = f"""
+{kept} AS (
+  SELECT g, l, p, kind, q, head, {share} AS share FROM (
+    SELECT x.g, x.l, x.p, x.kind, x.q, x.head,
+           greatest(list_sum(list_transform(w.vec, lambda v: abs(v))) - list_sum(list_transform(generate_series(1, len(w.vec)), lambda i: abs(x.vec[i] - w.vec[i] + 1e-6))), 1e-5) AS d
+    FROM ({' UNION ALL '.join(parts)}) x JOIN {whole} w ON w.g = x.g AND w.l = x.l AND w.p = x.p
+  )
+)"""
+    if threshold is not None:
+        out += f""",
+{name} AS (
+  SELECT g, l, p, kind, q, head, k / nullif(sum(k) OVER (PARTITION BY g, l, p), 0) AS share
+  FROM (SELECT *, CASE WHEN share > {threshold} THEN share ELSE 0.0 END AS k FROM {name}_raw)
+)"""
+    return out
+
+
+_ATTN = "SELECT g, l, p, 'attn' AS kind, q, head, vec FROM attn"
+
+
+def _one(kind: str, source: str) -> str:
+    return f"SELECT g, l, p, '{kind}', NULL, NULL, vec FROM {source}"
+
+
+def _full_graph_sql(parallel: bool, threshold: float | None = None) -> str:
+    if parallel:
+        shares = _shares_sql("first", [_ATTN, _one("mlp", "mlp"), _one("residual", "pre")], "post", threshold) + ", second AS (SELECT * FROM first)"
+    else:
+        shares = _shares_sql("first", [_ATTN, _one("residual", "pre")], "mid", threshold) + "," + _shares_sql(
+            "second", ["SELECT g, l, p, 'mlp' AS kind, NULL AS q, NULL AS head, vec FROM mlp", _one("residual", "mid")], "post", threshold)
+    here = "CASE WHEN l = 0 THEN 'X0_' || {0} ELSE 'I' || (l - 1) || '_' || {0} END"
+    source = here.format("p") if parallel else "'A' || l || '_' || p"
+    more = "UNION ALL SELECT g, 'A' || l || '_' || p, 'I' || l || '_' || p, share FROM first WHERE kind = 'residual'" if parallel else ""
+    return f"""WITH {_vectors_sql(parallel)}, {shares},
+drawn(graph_id, src, dst, share) AS (
+  SELECT g, {here.format('q')}, 'A' || l || '_' || p, share FROM first WHERE kind = 'attn'
+  UNION ALL SELECT g, {here.format('p')}, 'A' || l || '_' || p, share FROM first WHERE kind = 'residual'
+  {more}
+  UNION ALL SELECT g, {source}, 'M' || l || '_' || p, share FROM second WHERE kind = 'mlp'
+  UNION ALL SELECT g, 'M' || l || '_' || p, 'I' || l || '_' || p, share FROM second WHERE kind = 'mlp'
+  UNION ALL SELECT g, {source}, 'I' || l || '_' || p, share FROM second WHERE kind = 'residual'
+)
+SELECT graph_id, src, dst, round(sum(share), 6) AS weight FROM drawn GROUP BY graph_id, src, dst"""
+
+
+@register("full_graph", "O81 O83 O85 O93", _full_graph_sql(False))
 def full_graph_q(spark: SparkSession, sf: str) -> DataFrame:
-    return _edge_out(edges(spark, sf, False, threshold=THRESHOLD)[1])
+    return _edge_out(build_full_graph(**flow_vectors(spark, sf, False)))
+
+
+@register("full_graph_parallel", "O81 O84 O93", _full_graph_sql(True))
+def full_graph_parallel_q(spark: SparkSession, sf: str) -> DataFrame:
+    return _edge_out(build_full_graph(**flow_vectors(spark, sf, True)))
+
+
+@register("full_graph_threshold", "O81 O87 O93", _full_graph_sql(False, THRESHOLD))
+def full_graph_threshold_q(spark: SparkSession, sf: str) -> DataFrame:
+    return _edge_out(build_full_graph(**flow_vectors(spark, sf, False), threshold=THRESHOLD))
+
+
+@register("full_graph_parallel_threshold", "O81 O88 O93", _full_graph_sql(True, THRESHOLD))
+def full_graph_parallel_threshold_q(spark: SparkSession, sf: str) -> DataFrame:
+    return _edge_out(build_full_graph(**flow_vectors(spark, sf, True), threshold=THRESHOLD))
+
+
+def _share_out(s: DataFrame) -> DataFrame:
+    return s.select("graph_id", "layer", "pos", "kind", "key_pos", "head", F.round("share", 6).alias("share"))
+
+
+_SHARE_SQL = "SELECT g AS graph_id, l::INT AS layer, p::INT AS pos, kind, q::INT AS key_pos, head::INT AS head, round(share, 6) AS share FROM first"
+
+
+@register("attention_shares", "O83", f"WITH {_vectors_sql(False)}, {_shares_sql('first', [_ATTN, _one('residual', 'pre')], 'mid')} {_SHARE_SQL}")
+def attention_shares_q(spark: SparkSession, sf: str) -> DataFrame:
+    v = flow_vectors(spark, sf, False)
+    return _share_out(attention_contributions(v["attn"], v["resid_pre"], v["resid_mid"]))
+
+
+_MLP = "SELECT g, l, p, 'mlp' AS kind, NULL AS q, NULL AS head, vec FROM mlp"
+
+
+@register("mlp_shares", "O85", f"WITH {_vectors_sql(False)}, {_shares_sql('first', [_MLP, _one('residual', 'mid')], 'post')} {_SHARE_SQL}")
+def mlp_shares_q(spark: SparkSession, sf: str) -> DataFrame:
+    v = flow_vectors(spark, sf, False)
+    return _share_out(mlp_contributions(v["mlp_out"], v["resid_mid"], v["resid_post"]))
+
+
+_PIECES = f"""SELECT g, l, p, 'component' AS kind, NULL AS q, c AS head, list_transform(generate_series(1, len(vec)), lambda i: CASE WHEN (i - 1) % {COMPONENTS} = c THEN vec[i] ELSE 0.0 END) AS vec
+FROM mlp, (SELECT unnest(generate_series(0, {COMPONENTS - 1})) AS c)"""
+
+
+@register("component_shares", "O86", f"WITH {_vectors_sql(False)}, {_shares_sql('first', [_PIECES, _one('residual', 'mid')], 'post')} {_SHARE_SQL}")
+def component_shares_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Component c of the feed-forward block: its dimensions of remainder c."""
+    v = flow_vectors(spark, sf, False)
+    pieces = v["mlp_out"].withColumn("component", F.explode(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)))).withColumn(
+        "vec", F.transform("vec", lambda x, i: F.when(i % COMPONENTS == F.col("component"), x).otherwise(0.0)))
+    return _share_out(component_contributions(pieces, v["resid_mid"], v["resid_post"]))
 
 
 def _targets(sizes: DataFrame, token_col=None) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tokens import tokenize
 from ..operators.filtering import classify, middle_split
 from ..operators.relational import contiguous_shards, dedup_first
 from ..session import cut_lineage, scratch_path
 from ..sources.io import (
+    PAIR_SCHEMA,
     extract_fenced_block,
     materialize_once,
     read_jsonl_corpus,
@@ -38,11 +40,11 @@ def jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     "pairs_roundtrip",
     "O05 O10",
     """SELECT a.conv_id * 1000 + a.turn AS pair_id, length(a.text) AS clean_len, length(b.text) AS corrupt_len
-FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2 WHERE a.role = 'user'""",
+FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2""",
 )
 def pairs_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
-    a = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("clean"))
+    a = c.select("conv_id", "turn", F.col("text").alias("clean"))
     b = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("corrupt"))
     pairs = a.join(b, ["conv_id", "turn"]).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "clean", "corrupt",
@@ -50,9 +52,6 @@ def pairs_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("double").alias("similarity_score"))
     path = scratch_path(spark, "pairs")
     write_prompt_pairs(pairs, path)
-    from pyspark.sql import types as T
-
-    from ..sources.io import PAIR_SCHEMA
     schema = T.StructType([T.StructField("pair_id", T.LongType())] + PAIR_SCHEMA.fields)
     back = spark.read.schema(schema).json(path)
     return back.select("pair_id", F.length("clean").alias("clean_len"), F.length("corrupt").alias("corrupt_len"))
@@ -62,15 +61,17 @@ def pairs_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     "parts_union",
     "O13 O02 O62",
     """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS total FROM documents)
-SELECT doc_id FROM r WHERE least((rn - 1) // (total // 3), 2) <> 1""",
+SELECT 'job' || least((rn - 1) // (total // 3), 2) AS part, doc_id, CASE least((rn - 1) // (total // 3), 2) WHEN 0 THEN 'found' ELSE 'unexpected' END AS status
+FROM r WHERE least((rn - 1) // (total // 3), 2) <> 1
+UNION ALL SELECT 'job1', NULL, 'missing' UNION ALL SELECT 'job3', NULL, 'empty'""",
 )
 def parts_union(spark: SparkSession, sf: str) -> DataFrame:
     shards = contiguous_shards(table(spark, sf, "documents").select("doc_id"), 3, ["doc_id"])
     root = scratch_path(spark, "jobs")
-    for job in (0, 2):  # job 1 never finished: its part is missing
+    for job in (0, 2, 3):  # job 1 never finished: its part is missing; job 3 had nothing to write; nobody asked for job 2
         shards.where(F.col("shard") == job).drop("shard").write.parquet(f"{root}/job{job}")
-    rows, missing = union_job_outputs(spark, [f"{root}/job{j}" for j in range(3)])
-    return rows.select("doc_id")
+    expected = spark.createDataFrame([("job0",), ("job1",), ("job3",)], "part string")
+    return union_job_outputs(spark, root, expected, T.StructType([T.StructField("doc_id", T.LongType())])).select("part", "doc_id", "status")
 
 
 @register(

@@ -81,7 +81,6 @@ def dedup_exact(spark: SparkSession, sf: str) -> DataFrame:
 WITH pairs AS (
   SELECT a.conv_id, a.turn, a.text AS prompt, b.text AS reply
   FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
-  WHERE a.role = 'user'
 )
 SELECT arg_min(conv_id, (conv_id, turn)) AS conv_id, arg_min(turn, (conv_id, turn)) AS turn, count(*) - 1 AS duplicates
 FROM pairs GROUP BY prompt, reply
@@ -89,7 +88,7 @@ FROM pairs GROUP BY prompt, reply
 )
 def dedup_pairs(spark: SparkSession, sf: str) -> DataFrame:
     conv = table(spark, sf, "conversations")
-    a = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    a = conv.select("conv_id", "turn", F.col("text").alias("prompt"))
     b = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     pairs = a.join(b, ["conv_id", "turn"])
     return dedup_first(pairs, ["prompt", "reply"], ["conv_id", "turn"]).select("conv_id", "turn", "duplicates")
