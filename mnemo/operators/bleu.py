@@ -1,9 +1,9 @@
 """BLEU as DataFrame jobs.
 
-n-grams are exploded to rows keyed by (sample, order, ngram) and counted with partial
-aggregation; clipping is a join of candidate counts with the per-sample maximum over
-references; per-order sums give the modified precisions. Keys always include the sample
-id, so a frequent n-gram ("of the") is only ever grouped within one sample.
+A sample's hypothesis and references meet in one shuffle by sample id, as token arrays. There n-grams are
+exploded to rows (sample, order, ngram, reference number), counted, clipped by the largest count among the references and
+summed by order. All these groups contain the sample id, so nothing is shuffled again, and a frequent
+n-gram ("of the") is only ever grouped within one sample.
 """
 
 from __future__ import annotations
@@ -57,26 +57,28 @@ def bleu_stats(hyps: DataFrame, refs: DataFrame, id_col: str, hyp_col: str, ref_
     """Per-sample sufficient statistics: ``(id, ord, matches, possible, hyp_len, ref_len)``.
 
     ``hyps``: one row per sample; ``refs``: one row per (sample, reference). The reference
-    length is the shortest reference's.
+    length is the shortest reference's. Samples without a hypothesis or without references give no rows.
     """
-    hyp_len = hyps.select(id_col, F.size(hyp_col).alias("hyp_len"))
-    ref_len = refs.groupBy(id_col).agg(F.min(F.size(ref_col)).alias("ref_len"))
-    hc = ngram_counts(hyps, [id_col], hyp_col, max_order)
-    ref_keys = [id_col, "_ref"]
-    rc = ngram_counts(refs.withColumn("_ref", F.monotonically_increasing_id()), ref_keys, ref_col, max_order)
-    rmax = merge_reference_counts(rc.drop("_ref"), id_col)
-    m = clipped_matches(hc, rmax, id_col)
-    per_order = hyp_len.join(ref_len, id_col).select(
-        id_col, "hyp_len", "ref_len", F.explode(F.sequence(F.lit(1), F.lit(max_order))).alias("ord")
-    )
-    return per_order.join(m, [id_col, "ord"], "left").select(
-        id_col,
-        "ord",
-        F.coalesce("matches", F.lit(0)).cast("long").alias("matches"),
-        F.greatest(F.col("hyp_len") - F.col("ord") + 1, F.lit(0)).cast("long").alias("possible"),
-        "hyp_len",
-        "ref_len",
-    )
+    def strings(col):
+        return F.transform(F.col(col), lambda x: x.cast("string"))
+
+    sides = hyps.select(id_col, strings(hyp_col).alias("hyp"), F.lit(None).cast("array<string>").alias("ref")).unionByName(
+        refs.select(id_col, F.lit(None).cast("array<string>").alias("hyp"), strings(ref_col).alias("ref")))
+    samples = sides.groupBy(id_col).agg(F.collect_list("hyp").alias("hyps"), F.collect_list("ref").alias("refs")).where(
+        (F.size("hyps") > 0) & (F.size("refs") > 0))
+    hyp = F.get("hyps", F.lit(0))
+    # Number 0 is the hypothesis, then the references.
+    texts = samples.select(id_col, F.size(hyp).alias("hyp_len"), F.array_min(F.transform("refs", F.size)).alias("ref_len"),
+                           F.posexplode(F.concat(F.array(hyp), F.col("refs"))).alias("number", "tokens"))
+    keys = [id_col, "hyp_len", "ref_len"]
+    every_order = F.transform(F.sequence(F.lit(1), F.lit(max_order)), lambda n: F.struct(n.alias("ord"), F.lit(None).cast("string").alias("ngram")))
+    grams = texts.select(*keys, "number", F.inline(F.concat(every_order, _ngram_structs(F.col("tokens"), max_order))))
+    counts = grams.groupBy(*keys, "ord", "ngram", "number").agg(F.count(F.lit(1)).alias("cnt"))
+    sides = counts.groupBy(*keys, "ord", "ngram").agg(
+        F.sum(F.when(F.col("number") == 0, F.col("cnt"))).alias("hyp"), F.max(F.when(F.col("number") > 0, F.col("cnt"))).alias("ref"))
+    clipped = F.when(F.col("ngram").isNotNull() & F.col("hyp").isNotNull() & F.col("ref").isNotNull(), F.least("hyp", "ref")).otherwise(0)
+    return sides.groupBy(*keys, "ord").agg(F.sum(clipped).cast("long").alias("matches")).select(
+        id_col, "ord", "matches", F.greatest(F.col("hyp_len") - F.col("ord") + 1, F.lit(0)).cast("long").alias("possible"), "hyp_len", "ref_len")
 
 
 def bleu_from_stats(stats: DataFrame, keys: list[str], max_order: int = 4, smooth: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import completion_part, context_part, detokenize, memorization_score, tokenize
 from .completion import greedy_complete, train_next_token
+from .relational import global_cumsum
 
 
 def prompt_table(docs: DataFrame, prompt_tokens: int, generation_tokens: int, id_col: str = "doc_id",
@@ -62,13 +63,33 @@ def memorization_scores(docs: DataFrame, training_docs: DataFrame, prompt_tokens
 
 
 def score_summary(scores: DataFrame, by=(), score_col: str = "memorization_score") -> DataFrame:
-    """Count, mean and exact median of the score (optionally per group)."""
-    aggs = [
-        F.count(F.lit(1)).alias("n"),
-        F.avg(score_col).alias("mean_score"),
-        F.median(score_col).alias("median_score"),
-    ]
-    return scores.groupBy(*by).agg(*aggs) if by else scores.agg(*aggs)
+    """Count, mean and exact median of the score (optionally per group; null scores count only as rows).
+
+    The median is found from counts of values and their running sum in the order of (group, value), which lies over range
+    partitions: a group is never gathered, whatever its number of rows or values.
+    """
+    counts = scores.groupBy(*by, score_col).agg(F.count(F.lit(1)).alias("_n"))
+    order = [F.col(c).asc_nulls_first() for c in (*by, score_col)]
+    ranked = global_cumsum(counts, order, "_n", "_rank", "_upto")
+    known = F.col(score_col).isNotNull()
+    # Null scores come first in a group, so values start after them.
+    groups = ranked.groupBy(*by).agg(
+        F.sum("_n").alias("n"), F.sum(F.when(known, F.col("_n"))).alias("_known"),
+        (F.sum(F.when(known, F.col("_n") * F.col(score_col))) / F.sum(F.when(known, F.col("_n")))).alias("mean_score"),
+        F.min(F.when(known, F.col("_upto") - F.col("_n"))).alias("_before"))
+    keys = [f"_by{k}" for k in range(len(by))]
+    named = groups.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "_known", "_before")
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
+    rows = ranked.where(known).join(named, same) if by else ranked.where(known).crossJoin(named)  # one row of totals
+    low, high = F.col("_before") + F.floor((F.col("_known") + 1) / 2), F.col("_before") + F.floor((F.col("_known") + 2) / 2)
+
+    def at(place):
+        return F.max(F.when((F.col("_upto") - F.col("_n") < place) & (place <= F.col("_upto")), F.col(score_col)))
+
+    medians = rows.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median_score"))
+    back = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
+    out = groups.join(medians, back, "left") if by else groups.crossJoin(medians)
+    return out.select(*by, "n", "mean_score", "median_score")
 
 
 def top_scores(scores: DataFrame, n: int = 10, score_col: str = "memorization_score", id_col: str = "doc_id",
