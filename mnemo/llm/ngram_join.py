@@ -14,27 +14,31 @@ are linked when the Jaccard similarity of their sets reaches the threshold exact
    entered under the shingle and the band of its size, the larger under the bands it can reach. The
    least class of each shingle and band leads its group; a class is in the cluster of every leader it
    got this way, so any two linked classes meet in a cluster.
-4. In a cluster the ordered sets are stored in a trie, commonest shingles first, so near copies
+4. Most clusters hold sets that met by chance. Before any set is sent, each class has a sketch: how many of its
+   shingles fall in each of a few hash buckets (a byte each, two to four shingles a bucket). The sum of
+   the lesser counts bounds the overlap of two sets from above, so pairs that sketches rule out are not linked. Members
+   without a partner left go, and a cluster falls into the parts that its remaining pairs connect.
+5. In what is left the ordered sets are stored in a trie, commonest shingles first, so near copies
    share long paths. Each set walks the trie; partial overlaps are carried down and so shared, and a
    subtree is pruned when even all that remains of the shortest and the longest set below could
    not reach the threshold, or when all of it is already in the walker's component: more links there
    can't change the result.
-5. Clusters of more than ``PART`` members are cut in parts. Each part is joined with itself beside
+6. Clusters of more than ``PART`` members are cut in parts. Each part is joined with itself beside
    the leader's set. Then members whose distance to the leader leaves a link between parts possible
    (Jaccard distance obeys the triangle inequality; two members linked to the leader need no
    look at each other) are joined part by part.
-6. Links join classes to components, and documents take the least id.
+7. Links join classes to components, named by their least id.
 
 With ``links`` every linked pair is found, not only as many as the components need: a trie is walked by all
 sets at once (one look at each node, with the overlaps of the walkers still in reach), nothing is left out for
 being in one component, and all pairs of parts of a cut cluster are joined. Two classes that meet in several
-clusters are counted in that of the least leader they share: each member carries its lesser leaders. Pairs
-are counted by class, weighted by how many documents each class has, and never written.
+clusters are counted in that of the least leader they share: each member carries its lesser leaders. (Sketches rule
+a pair out in all its clusters or in none.) Pairs are counted by class, weighted by how many documents each class has, and never written.
 
-Limits: one document's set must fit in a task. The number of pairs of parts in step 5 grows with the square
-of the members of one cluster that are near the leader without being linked to it; with ``links``, of all members.
+Limits: one document's set must fit in a task. The number of pairs of parts in steps 4 and 6 grows with the square
+of the members of one cluster; in step 6 only those count that are near the leader without being linked to it, with ``links`` all.
 
-Nulls, empty texts and texts without words have an empty set, size 0, and are linked with nothing (their
+Ids keep their type; ids of other types than whole numbers are compared as text. Nulls, empty texts and texts without words have an empty set, size 0, and are linked with nothing (their
 own component, of their own id). Fewer words than n: the whole sequence is the one shingle. Repeated rows
 each get a row. Null ids are least in no component of several documents with ids.
 """
@@ -48,11 +52,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .textops import _U, blocks, mix, shingles, words, written
+from .textops import _U, blocks, mix, runs, shingles, words, written
 
 SLOTS = 1 << 20
 _CHUNK = 1 << 14
@@ -62,8 +66,11 @@ BAND = 0.03
 PART_TOKENS = 1 << 21
 #: Shingles of slots that stand out by more occurrences than this are hot: aggregated before they are shuffled and joined back.
 HOT = 1 << 12
-#: Ids are sent to every task only up to this many (8 bytes each); beyond, they are joined by a shuffle.
-SEND_ROWS = 500_000
+#: Tables are sent to every task only up to this many bytes, counted first; beyond, they are joined by a shuffle.
+SEND_BYTES = 16 << 20
+#: Classes of more than one in so many documents are sent to every task: at most this many rows.
+MOST_HOT = 1000
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def sets(texts: pa.Array, n: int, lower: bool = True) -> Iterator[np.ndarray]:
@@ -78,6 +85,41 @@ def signature(s: np.ndarray) -> bytes:
     return np.array([mix(s).sum(dtype=_U), mix(s ^ _U(0xA0761D6478BD642F)).sum(dtype=_U)], ">u8").tobytes()
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles fall in each bucket of their first bits, a byte each (255: that many or more)."""
+    bits = max(4, (len(s) - 1).bit_length() - 2)
+    return np.minimum(np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def folded(counts: np.ndarray, width: int) -> np.ndarray:
+    """The sketch with fewer, wider buckets."""
+    while len(counts) > width:
+        counts = np.minimum(counts.reshape(-1, 2).sum(axis=1, dtype=np.int64), 255).astype(np.uint8)
+    return counts
+
+
+def may_link(size: np.ndarray, sketches: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Labels of sets that a chain of possible links connects, as far as sketches tell; with ``side`` only links between different sides."""
+    label, width = np.arange(len(size)), np.array([len(x) for x in sketches])
+    order = np.argsort(size, kind="stable")
+    reach = 1 << math.ceil(math.log2(den / num)) if num < den else 1
+    for w in np.unique(width):
+        at = order[(width[order] >= w) & (width[order] <= w * reach)]
+        if len(at) < 2:
+            continue
+        counts, s = np.stack([folded(sketches[k], w) for k in at]), size[at]
+        last = np.searchsorted(s, s * den // num, "right")  # larger partners are at most this long
+        for i in np.flatnonzero((width[at] == w) & (last - np.arange(len(at)) > 1)):
+            less = np.minimum(counts[i], counts[i + 1 : last[i]])
+            most = np.where((less == 255).any(axis=1), s[i], np.minimum(less.sum(axis=1, dtype=np.int64), s[i]))
+            hit = at[i + 1 : last[i]][den * most >= num * (s[i] + s[i + 1 : last[i]] - most)]
+            if side is not None:
+                hit = hit[side[hit] != side[at[i]]]
+            if (label[hit] != label[at[i]]).any():
+                label[np.isin(label, label[hit])] = label[at[i]]
+    return label
+
+
 def prefix_size(size: int, num: int, den: int) -> int:
     return size - -(-size * num // den) + 1
 
@@ -86,34 +128,36 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> _U(44)).astype(np.int64)
 
 
-_MADE = ["key", "size", "sig", "chunk", "counts"]
+_MADE = ["key", "size", "sig", "sketch", "chunk", "counts"]
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """Written rows of two kinds: (key, size, sig) of every document, and chunks of each task's counts (words, then shingles)."""
+    """Written rows of two kinds: (key, size, sig, sketch) of every document, and chunks of each task's counts (words, then shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, met = np.zeros(2 * SLOTS, np.int64), set()
+        count, met, key_type = np.zeros(2 * SLOTS, np.int64), set(), None
         for b in blocks(batches, "text"):
             w = words(b.column("text"), True)
             h, bounds = shingles(w, n)
-            size, sig = [], []
+            size, sig, sketches = [], [], []
             for d, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                 s = np.unique(h[lo:hi])
                 size.append(len(s))
                 sig.append(signature(s) if len(s) else None)
+                sketches.append(sketch(s).tobytes() if len(s) else None)
                 if len(s) and sig[-1] not in met:
                     met.add(sig[-1])
                     np.add.at(count, _slots(w.hash[w.first[d] : w.first[d + 1]]), 1)
                     np.add.at(count, SLOTS + _slots(s), 1)
-            k = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=_MADE)
+            k, key_type = b.num_rows, b.schema.field("key").type
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketches, pa.binary()),
+                                               pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=_MADE)
         if met:
             parts = [zlib.compress(count[i : i + _CHUNK].astype("<i8").tobytes(), 1) for i in range(0, 2 * SLOTS, _CHUNK)]
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=_MADE)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=_MADE)
 
-    return written(docs.mapInArrow(run, "key long, size long, sig binary, chunk int, counts binary"), "shingle-classes")
+    return written(docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, size long, sig binary, sketch binary, chunk int, counts binary"), "shingle-classes")
 
 
 def rarity(made: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,18 +361,91 @@ def links_of(members: list[np.ndarray], num: int, den: int, weight: np.ndarray,
     return label, found
 
 
+def node_of(key: str, kind: str) -> Column:
+    """A class's name in the graph: its least id in bytes that sort like ids; classes without any id come last."""
+    if kind in WHOLE:
+        flipped = F.col(key).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+        named = F.unhex(F.lpad(F.hex(flipped), 16, "0"))
+    else:
+        named = F.col(key).cast("string").cast("binary")
+    return F.when(F.col(key).isNull(), F.concat(F.unhex(F.lit("01")), F.col("sig"))).otherwise(F.concat(F.unhex(F.lit("00")), named))
+
+
+def id_of(node: Column, kind: str) -> Column:
+    rest = F.substring(node, 2, 1 << 30)
+    if kind in WHOLE:
+        found = F.conv(F.hex(rest), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    else:
+        found = rest.cast("string")
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", found.cast(kind))
+
+
+def sendable(df: DataFrame, bytes_a_row: Column) -> DataFrame:
+    """With a hint to send it to every task, if it holds at most ``SEND_BYTES``."""
+    total = df.agg(F.sum(bytes_a_row)).first()[0] or 0
+    return F.broadcast(df) if total <= SEND_BYTES else df
+
+
+def key_bytes(name: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 16
+
+
+def in_parts(rows: DataFrame, sizes: DataFrame, part: int) -> DataFrame:
+    """(leader, parts) of clusters (leader, head): as many parts as members and the sizes of their sets ask for."""
+    per = rows.join(sizes, "head").groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("tokens"))
+    return per.select("leader", F.greatest(F.ceil(F.col("members") / part), F.ceil(F.col("tokens") / PART_TOKENS)).cast("int").alias("parts"))
+
+
+def survivors(member: DataFrame, of_class: DataFrame, num: int, den: int, part: int) -> DataFrame:
+    """(leader, sub, head, parts) of the members whose sketches leave a link to another member possible.
+
+    ``sub`` tells apart the pieces of a cluster that no possible link connects; clusters of several parts stay whole.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = [], 0
+        for group in runs(batches, ["leader", "a", "b"]):
+            if group.num_rows < 2:
+                continue
+            head, size, side = (group.column(c).to_numpy() for c in ("head", "size", "part"))
+            sketches = [np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()]
+            a, b, parts = (int(group.column(c)[0].as_py()) for c in ("a", "b", "parts"))
+            label = may_link(size, sketches, num, den, (side == b).astype(int) if a < b else None)
+            stay = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+            if len(stay):
+                k = len(stay)
+                out.append((np.full(k, group.column("leader")[0].as_py()), label[stay] if parts == 1 else np.zeros(k, np.int64), head[stay], np.full(k, parts)))
+                n += k
+            if n > 50_000:
+                yield table_of(out)
+                out, n = [], 0
+        if out:
+            yield table_of(out)
+
+    def table_of(out):
+        leader, sub, head, parts = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.record_batch({"leader": leader, "sub": pa.array(sub, pa.int32()), "head": head, "parts": pa.array(parts, pa.int32())})
+
+    parts = in_parts(member, of_class.select("head", "size"), part)
+    dealt = member.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("leader", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "parts", "head")
+    rows = dealt.join(of_class.select("head", "size", "sketch"), "head").repartition("leader", "a", "b").sortWithinPartitions("leader", "a", "b", "head")
+    return written(rows.mapInArrow(run, "leader long, sub int, head long, parts int").distinct(), "candidates")
+
+
 def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", part: int = PART, links: bool = True) -> DataFrame:
     """(key, n_shingles, component, n_links) of every row: documents linked at Jaccard >= num / den over n-word shingles.
 
     ``n_links`` is how many other rows the row is linked to; without ``links`` it is left out, and only the links that components need are looked for.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     made = classes(docs, n)
     made_level = rarity(made, n)
     level = spark.sparkContext.broadcast(made_level)  # 5 * SLOTS bytes
     hot_level = 128 + int(2 * math.log2(HOT))
-    rows = made.where("chunk is null").select("key", "size", "sig")
+    rows = made.where("chunk is null").select("key", "size", "sig", "sketch")
 
     def prefixes(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
@@ -378,167 +495,181 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
         member = member.unionByName(banded.join(groups, ["token", "band"]).select("leader", "head"))
     member = written(member.distinct(), "clusters")
 
-    # Parts of each cluster, from the sizes of its sets alone.
-    wanted = member.select("head").distinct()
+    # One row a class; a text that very many documents share is combined before the shuffle.
     heads = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
-    reps = written(rows.where("size > 0").groupBy("sig").agg(F.min("key").alias("key"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies")).withColumn(
-        "head", heads).join(wanted, "head").select("key", "head", "size", *(("sig", "copies") if links else ())), "class-texts")
-    per = member.join(reps.select("head", "size"), "head").groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("tokens"))
-    parts = per.select("leader", F.greatest(F.ceil(F.col("members") / part), F.ceil(F.col("tokens") / PART_TOKENS)).cast("int").alias("parts"))
-    placed = member.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int"))
+    of_class = written(rows.where("size > 0").groupBy("sig").agg(
+        F.min("key").alias("key"), F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")).withColumns(
+        {"head": heads, "node": node_of("key", kind)}), "class-rows")
+    sizes = of_class.select("head", "size")
+    kept = survivors(member, of_class, num, den, part)
+
+    # Parts of what is left of clusters that were cut, from the sizes of its sets alone.
+    some = kept.where("parts > 1").select("leader", "head")
+    parts = written(in_parts(some, sizes, part), "parts")
+    again = some.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int"))
     # The leader is a member of its own cluster; of a cut cluster, of every part.
     also = parts.where("parts > 1").select(F.col("leader"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("head"))
-    placed = placed.select("leader", "parts", "part", "head").unionByName(also)
+    placed = again.select("leader", "parts", "part", "head").unionByName(also).distinct().withColumn("sub", F.lit(0)).unionByName(
+        kept.where("parts = 1").select("leader", "parts", F.lit(0).alias("part"), "head", "sub"))
+    placed = placed.join(of_class.select("head", "sig", "node", *(["copies"] if links else [])), "head")
     if links:
-        led = member.groupBy("head").agg(F.collect_list("leader").alias("leaders"))
-        placed = placed.distinct().join(led, "head").withColumn("earlier", F.filter("leaders", lambda x: x < F.col("leader"))).drop("leaders").join(
-            reps.select("head", "sig", "copies"), "head")
+        led = kept.select("leader", "head").distinct().groupBy("head").agg(F.collect_list("leader").alias("leaders"))
+        placed = placed.join(led, "head").withColumn("earlier", F.filter("leaders", lambda x: x < F.col("leader"))).drop("leaders")
     placed = written(placed, "places")
 
     # One text of every class in a cluster, as its set.
-    def sendable(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= SEND_ROWS else df
-
-    texts = docs.withColumnRenamed("key", "_key").join(sendable(reps.select("key")), F.col("_key").eqNullSafe(F.col("key")), "left_semi")
+    needed = placed.select("head").distinct().join(of_class.select("head", "key"), "head").select(F.col("key").alias("wanted")).distinct()
+    needed = sendable(written(needed, "class-texts"), key_bytes("wanted"))
+    texts = docs.join(needed, F.col("key").eqNullSafe(F.col("wanted")), "left_semi")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
             got = [s for s in sets(b.column("text"), n) if len(s)]
-            sigs = [signature(s) for s in got]
-            yield pa.record_batch({"sig": pa.array(sigs, pa.binary()), "head": pa.array([int(np.frombuffer(x, ">i8")[0]) for x in sigs], pa.int64()),
-                                   "tokens": pa.array([s.tobytes() for s in got], pa.binary())})
+            yield pa.record_batch({"sig": pa.array([signature(s) for s in got], pa.binary()), "tokens": pa.array([s.tobytes() for s in got], pa.binary())})
 
-    held = texts.select("text").mapInArrow(as_sets, "sig binary, head long, tokens binary")
-    own = held.join(sendable(placed), ["head", "sig"] if links else "head")
+    held = texts.select("text").mapInArrow(as_sets, "sig binary, tokens binary")
+    slim = F.octet_length("node") + (F.size("earlier") * 8 if links else F.lit(0)) + 64
+    own = held.join(sendable(placed, slim), "sig")
 
     def unpack(pdf: pd.DataFrame) -> tuple[list[bytes], list[np.ndarray]]:
-        seen = dict(zip(map(bytes, pdf["sig"]), pdf["tokens"], strict=True))
+        seen = dict(zip(map(bytes, pdf["node"]), pdf["tokens"], strict=True))
         return list(seen), [np.frombuffer(t, _U) for t in seen.values()]
 
-    def forest(sigs: list[bytes], label: np.ndarray, known: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+    def forest(nodes: list[bytes], label: np.ndarray, known: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
         """One edge from each set to the first of its component."""
         first: dict[int, int] = {}
-        return [(sigs[k], sigs[first.setdefault(int(c), k)]) for k, c in enumerate(label) if first.setdefault(int(c), k) != k]
+        return [(nodes[k], nodes[first.setdefault(int(c), k)]) for k, c in enumerate(label) if first.setdefault(int(c), k) != k]
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         """A part beside its leader: links, and for a cut cluster how far each member is from the leader."""
-        pdf = pdf.sort_values("sig")
-        sigs, members = unpack(pdf)
-        # The leader first: its links settle most of a group of near copies.
+        pdf = pdf.sort_values("node").drop_duplicates("node")
+        nodes, members = unpack(pdf)
+        # The leader first: its links settle most of a group of near copies. A cluster in one piece may have lost it; then the first leads.
         lead = int(pdf["leader"].iloc[0])
-        at = next(k for k, s in enumerate(sigs) if int(np.frombuffer(s[:8], ">i8")[0]) == lead)
-        sigs[0], sigs[at], members[0], members[at] = sigs[at], sigs[0], members[at], members[0]
+        at = int(np.argmax(pdf["head"].to_numpy() == lead))
+        nodes[0], nodes[at], members[0], members[at] = nodes[at], nodes[0], members[at], members[0]
         common = np.array([len(np.intersect1d(members[0], m, assume_unique=True)) for m in members])
         size = np.array([len(m) for m in members])
         union = size + size[0] - common
-        label = np.arange(len(sigs))
+        label = np.arange(len(nodes))
         label[den * common >= num * union] = 0
         label = link(members, num, den, label=label)
-        edges = forest(sigs, label)
+        edges = forest(nodes, label)
         cut = int(pdf["parts"].iloc[0]) > 1
         out = [(u, v, None, None, None) for u, v in edges]
         if cut:
-            out += [(None, None, s, lead, float(1 - c / w)) for s, c, w in zip(sigs, common, union, strict=True)]
-        u, v, sig, by, far = zip(*out, strict=True) if out else ((),) * 5
+            out += [(None, None, s, lead, float(1 - c / w)) for s, c, w in zip(nodes, common, union, strict=True)]
+        u, v, node, by, far = zip(*out, strict=True) if out else ((),) * 5
         # Nullable integers: a float column would round the leader's 64 bits.
-        return pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object), "sig": pd.Series(sig, dtype=object),
+        return pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object), "node": pd.Series(node, dtype=object),
                              "leader": pd.array(by, dtype="Int64"), "far": pd.Series(far, dtype=float)})
 
     if links:
         edges, counts = _all_links(own, num, den, forest)
     else:
-        edges, counts = _of_components(own, held, parts, within, num, den, part, unpack, forest), None
+        named = held.join(of_class.select("sig", "node"), "sig").select("node", "tokens")
+        edges, counts = _of_components(own, named, parts, within, num, den, part, unpack, forest), None
     roots = components(edges)
-    # Each class's root (itself without links), then the least document id of the root.
-    known = rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    linked = known.where("size > 0")
-    least = linked.groupBy("root").agg(F.min("key").alias("component"))
-    out = linked.join(least, "root")
-    alone = known.where("size = 0").withColumn("component", F.col("key"))
+    # Each class's root (itself without links) is named by the component's least id.
+    known = of_class.select("sig", "node", "copies").join(roots, "node", "left")
+    known = known.select("sig", "node", "copies", id_of(F.coalesce("root", "node"), kind).alias("component"))
     if links:
         # The other rows of its own class, and all rows of classes linked to it.
-        per = rows.where("size > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies")).join(counts, "sig", "left").select(
-            "sig", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-        out, alone = out.join(per, "sig"), alone.withColumn("n_links", F.lit(0).cast("long"))
+        known = known.join(counts, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0))).drop("links")
+    known = written(known.drop("node"), "class-components")
+    # Documents take what is known of their class; the few classes that may each hold very many documents are sent to all tasks.
+    linked = rows.where("size > 0").select("key", "size", "sig")
+    total = known.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(known.where(F.col("copies") * MOST_HOT > total).drop("copies"))
+    cold = known.where(F.col("copies") * MOST_HOT <= total).drop("copies")
+    out = linked.join(hot, "sig").unionByName(linked.join(hot.select("sig"), "sig", "left_anti").join(cold, "sig"))
+    alone = rows.where("size = 0").withColumn("component", F.col("key"))
+    if links:
+        alone = alone.withColumn("n_links", F.lit(0).cast("long"))
     more = ["n_links"] if links else []
     out = out.select("key", "size", "component", *more).unionByName(alone.select("key", "size", "component", *more))
     return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component", *more)
 
 
 def _all_links(own: DataFrame, num: int, den: int, forest) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) that give the components of all links, and (sig, links) of the classes with links to others."""
+    """Edges (u, v) that give the components of all links, and (node, links) of the classes with links to others."""
 
     def found(pdf: pd.DataFrame, side: bool) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("sig").sort_values("sig")
-        sigs, members = list(map(bytes, pdf["sig"])), [np.frombuffer(t, _U) for t in pdf["tokens"]]
+        pdf = pdf.drop_duplicates("node").sort_values("node")
+        nodes, members = list(map(bytes, pdf["node"])), [np.frombuffer(t, _U) for t in pdf["tokens"]]
         label, links = links_of(members, num, den, pdf["copies"].to_numpy(), list(pdf["earlier"]), (pdf["part"] == pdf["b"]).to_numpy().astype(int) if side else None)
-        out = [(u, v, None, None) for u, v in forest(sigs, label)] + [(None, None, sigs[k], int(links[k])) for k in np.flatnonzero(links)]
-        u, v, sig, n = zip(*out, strict=True) if out else ((),) * 4
-        return pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object), "sig": pd.Series(sig, dtype=object), "links": pd.array(n, dtype="Int64")})
+        out = [(u, v, None, None) for u, v in forest(nodes, label)] + [(None, None, nodes[k], int(links[k])) for k in np.flatnonzero(links)]
+        u, v, node, n = zip(*out, strict=True) if out else ((),) * 4
+        return pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object), "node": pd.Series(node, dtype=object), "links": pd.array(n, dtype="Int64")})
 
-    schema = "u binary, v binary, sig binary, links long"
-    every = own.groupBy("leader", "part").applyInPandas(lambda pdf: found(pdf, False), schema)
+    schema = "u binary, v binary, node binary, links long"
+    every = own.groupBy("leader", "sub", "part").applyInPandas(lambda pdf: found(pdf, False), schema)
     # The leader has met all members, as it is in every part. Each other member goes to all pairs of parts with its own; a pair is one task.
     sent = own.where("parts > 1 and head != leader").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other != part").withColumns(
         {"a": F.least("part", "other"), "b": F.greatest("part", "other")})
     every = written(every.unionByName(sent.groupBy("leader", "a", "b").applyInPandas(lambda pdf: found(pdf, True), schema)), "links")
-    return every.where("u is not null").select("u", "v"), every.where("sig is not null").groupBy("sig").agg(F.sum("links").alias("links"))
+    return every.where("u is not null").select("u", "v"), every.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def _of_components(own: DataFrame, held: DataFrame, parts: DataFrame, within, num: int, den: int, part: int, unpack, forest) -> DataFrame:
-    """As many links (u, v) as the components need."""
-    grouped = own.groupBy("leader", "part")
-    first = written(grouped.applyInPandas(within, "u binary, v binary, sig binary, leader long, far double"), "links")
+    """As many links (u, v) as the components need. ``held``: (node, tokens) of every class in a cluster."""
+    grouped = own.groupBy("leader", "sub", "part")
+    first = written(grouped.applyInPandas(within, "u binary, v binary, node binary, leader long, far double"), "links")
     edges = first.where("u is not null").select("u", "v")
     cut = parts.where("parts > 1").select("leader")
     if cut.limit(1).count():
-        edges = edges.unionByName(_between(first, held, cut, num, den, part, unpack, forest))
+        edges = edges.unionByName(_between(first, held, num, den, part, unpack, forest))
     return edges
 
 
-def _between(first: DataFrame, held: DataFrame, cut: DataFrame, num: int, den: int, part: int, unpack, forest) -> DataFrame:
+def _between(first: DataFrame, held: DataFrame, num: int, den: int, part: int, unpack, forest) -> DataFrame:
     """Links between parts of cut clusters.
 
     Two members linked to the leader are in one component already. A member at distance f > 1 - t can only
     link to members at distance f - (1 - t) or more, and of the linked ones only those are taken along.
     """
     near = 1 - num / den
-    far = first.where("sig is not null").select("leader", "sig", "far").distinct()
+    far = first.where("node is not null").select("leader", "node", "far").distinct()
     loose = far.where(F.col("far") > near)
     reach = loose.groupBy("leader").agg(F.min("far").alias("nearest"), F.count(F.lit(1)).alias("loose"))
     some = far.join(reach, "leader").where(F.col("far") >= F.col("nearest") - near - 1e-9)
     size = some.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
-    placed = some.join(size, "leader").withColumn("part", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("parts")).cast("int"))
+    placed = some.join(size, "leader").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     # Each member goes to all pairs of parts with its own; a pair of parts is one task.
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "leader", "sig", "far", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+        "leader", "node", "far", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        far_of = dict(zip(map(bytes, pdf["sig"]), pdf["far"], strict=True))
-        part_of = dict(zip(map(bytes, pdf["sig"]), pdf["part"], strict=True))
-        sigs, members = unpack(pdf)
-        label = np.arange(len(sigs))
-        linked = np.array([far_of[s] <= near for s in sigs])
-        label[linked] = len(sigs)
+        far_of = dict(zip(map(bytes, pdf["node"]), pdf["far"], strict=True))
+        part_of = dict(zip(map(bytes, pdf["node"]), pdf["part"], strict=True))
+        nodes, members = unpack(pdf)
+        label = np.arange(len(nodes))
+        linked = np.array([far_of[s] <= near for s in nodes])
+        label[linked] = len(nodes)
         label = np.where(linked, np.argmax(linked) if linked.any() else 0, label)
         one = int(pdf["a"].iloc[0]) == int(pdf["b"].iloc[0])
-        side = None if one else np.array([int(part_of[s] == pdf["b"].iloc[0]) for s in sigs])
+        side = None if one else np.array([int(part_of[s] == pdf["b"].iloc[0]) for s in nodes])
         label = link(members, num, den, side, label)
-        return pd.DataFrame(forest(sigs, label), columns=["u", "v"])
+        return pd.DataFrame(forest(nodes, label), columns=["u", "v"])
 
-    return written(sent.join(held.select("sig", "tokens"), "sig").groupBy("leader", "a", "b").applyInPandas(across, "u binary, v binary"), "links-between")
+    return written(sent.join(held, "node").groupBy("leader", "a", "b").applyInPandas(across, "u binary, v binary"), "links-between")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows without near copies: of each component the row with the least id stays.
 
-    Rows with empty sets, and rows with a null id, all stay; of rows that repeat an id one stays.
+    Rows with empty sets, and rows with a null id, all stay; of rows that repeat an id at most one stays. Texts are not
+    shuffled: the ids that go are sent to all tasks, as long as they hold at most ``SEND_BYTES``.
     """
-    found = written(joined(docs, n, num, den, key, text, links=False), "joined")
-    stay = found.where(F.col(key) == F.col("component")).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    many = stay.where("_n > 1").select("_key")
-    if not many.limit(1).count():
-        return docs.where(F.col(key).isNull()).unionByName(docs.join(stay, F.col(key) == F.col("_key"), "left_semi"))
-    once = docs.join(stay.where("_n = 1"), F.col(key) == F.col("_key"), "left_semi")
-    return docs.where(F.col(key).isNull()).unionByName(once).unionByName(
-        docs.join(many, F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key]))
+    found = joined(docs, n, num, den, key, text, links=False)
+    own = "_own"
+    while own in docs.columns:
+        own += "_"
+    ids = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(own)).agg(
+        F.max(F.col(key) == F.col("component")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    changed = written(ids.where("not stays or n > 1"), "ids-that-go")
+    several = changed.where("stays").select(own)
+    left = docs.join(sendable(changed.select(own), key_bytes(own)), F.col(key) == F.col(own), "left_anti")
+    if not several.limit(1).count():
+        return left
+    return left.unionByName(docs.join(several, F.col(key) == F.col(own), "left_semi").dropDuplicates([key]))

@@ -1,9 +1,9 @@
 """Vectorised word and shingle helpers shared by the operators of this subpackage.
 
 All work on Arrow string columns inside Spark tasks. A word is ``[^\\x20\\x09-\\x0D]+``; the
-separators are ASCII, so words are cut on UTF-8 bytes without decoding. Word hashes are 64-bit
-polynomial hashes over random byte values, read off one running sum per block of text, then
-mixed; shingle hashes combine the mixed word hashes.
+separators are ASCII, so words are cut on UTF-8 bytes without decoding. Word hashes add up 64-bit
+hashes of each byte with its place in the word (so no pattern of letters cancels out), then mixed;
+shingle hashes combine the mixed word hashes.
 
 Nulls count as empty texts. Work arrays are a few dozen bytes per byte of text, so batches are cut
 into blocks of ``BLOCK_BYTES`` (one longer document is a block of its own, never cut).
@@ -25,21 +25,11 @@ BLOCK_BYTES = 1 << 20
 _U = np.uint64
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) | _U(1)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUES_LOWER = _VALUES[_LOWER]
-_powers = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
-
-
-def _power(which: str, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        steps = np.full(max(n, 2 * BLOCK_BYTES), _BASE if which == "up" else _BASE_INV, _U)
-        steps[0] = 1
-        _powers[which] = np.cumprod(steps, dtype=_U)
-    return _powers[which][:n]
+#: Bytes of a word are hashed with their place in it; up to this place by table.
+_PLACES = 64
+_LETTERS = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,6 +42,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_BYTES = mix((np.arange(_PLACES * 256, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
+
+
+def _byte_hashes(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash for each byte and its place."""
+    out = _BYTES[(np.minimum(place, _PLACES - 1) << np.int32(8)) | raw]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        out[far] = mix(((place[far].astype(_U) << _U(8)) + raw[far].astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1, from 0) of a string column; nulls are empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -74,6 +76,26 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             end = max(at + 1, end)
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()  # workers live on after a task
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The groups of rows with equal whole-number ``keys`` in a stream sorted by them; one group is held at a time."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(k[:, lo].tolist())
+            if held and now != last:
+                yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 @dataclass
@@ -110,9 +132,18 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     following[:-1] = inside[1:]
     following[offsets[1:][(offsets[1:] > 0) & (offsets[1:] <= n)] - 1] = False
     end = np.flatnonzero(inside & ~following) + 1
-    total = np.zeros(n + 1, _U)
-    np.cumsum((_VALUES_LOWER if lower else _VALUES)[raw] * _power("up", n), out=total[1:])
-    hashes = mix((total[end] - total[start]) * _power("down", n)[start] + (end - start).astype(_U))
+    hashes = np.empty(len(start), _U)
+    ends = np.cumsum(end - start)
+    at = 0
+    while at < len(start):  # a bounded number of letters at a time
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _LETTERS, "right")))
+        length = end[at:upto] - start[at:upto]
+        first = np.cumsum(length) - length
+        place = np.arange(int(length.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), length)
+        letters = raw[np.repeat(start[at:upto].astype(np.int32), length) + place] if n < 1 << 31 else raw[np.repeat(start[at:upto], length) + place]
+        hashes[at:upto] = np.add.reduceat(_byte_hashes(_LOWER[letters] if lower else letters, place), first) + length.astype(_U)
+        at = upto
+    hashes = mix(hashes)
     return Words(raw, offsets, start, end, hashes, np.searchsorted(start, offsets))
 
 
