@@ -18,7 +18,9 @@ from ..functions.patterns import (
     is_repeated_text,
     is_sequential_numbers,
     lines,
+    non_latin,
     py_strip,
+    script_of,
     script_repetition,
     skeleton_lines,
     structure_density_hit,
@@ -53,9 +55,14 @@ def cheap_rule(text, completion) -> Column:
     )
 
 
-def classify(df: DataFrame, text: str = "text", completion: str = "completion") -> DataFrame:
-    """Adds ``rule`` (first matching rule name, NULL = keep) in one pass."""
+def classify(df: DataFrame, text: str = "text", completion: str = "completion", similar: bool = True) -> DataFrame:
+    """Adds ``rule`` (first matching rule name, NULL = keep) in one pass.
+
+    Without ``similar`` the last arm, the similarity of line skeletons, is left out and all work stays in the JVM.
+    """
     t, c = F.col(text), F.col(completion)
+    if not similar:
+        return df.withColumn("rule", cheap_rule(t, c))
     staged = df.withColumn("_cheap", cheap_rule(t, c))
     multi = (F.size(lines(py_strip(t))) >= 2) & (F.size(lines(py_strip(c))) >= 2)
     undecided = F.col("_cheap").isNull() & multi
@@ -83,6 +90,12 @@ def filter_summary(classified: DataFrame, rule_col: str = "rule") -> DataFrame:
     ).withColumn("filtered_pct", F.round(F.try_divide(F.col("filtered") * 100.0, F.col("total")), 6))
 
 
+def script_histogram(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+    """O73, aggregated: ``(id, script, n)`` of the characters beyond ASCII; rows without any have no row."""
+    chars = df.select(id_col, F.explode(F.split(non_latin(text), "")).alias("_c")).where("_c <> ''")
+    return chars.groupBy(id_col, script_of(F.col("_c")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def middle_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Test pairs from documents: lines before / after the middle line as (text, completion)."""
     ls = F.split(F.col(text_col), "\n")

@@ -87,6 +87,16 @@ def global_rank(df: DataFrame, order, rank_col: str = "rank", partitions: int |
     )
 
 
+def sort_by(df: DataFrame, cols: list[str], ascending: list[bool] | None = None, place: str | None = None) -> DataFrame:
+    """Rows by the columns, nulls first where ascending and last where descending; end them with a unique one.
+
+    With ``place`` the 1-based place is added, which outlasts later shuffles.
+    """
+    up = ascending or [True] * len(cols)
+    order = [F.col(c).asc_nulls_first() if a else F.col(c).desc_nulls_last() for c, a in zip(cols, up)]
+    return global_rank(df, order, place) if place else df.orderBy(*order)
+
+
 def contiguous_shards(df: DataFrame, n_shards: int, order, shard_col: str = "shard") -> DataFrame:
     """floor(rows/n) consecutive rows per shard, the last shard takes the remainder."""
     ranked = global_rank(df, order, "_r")

@@ -12,6 +12,7 @@ from ..operators.circuits import (
     first_token_id,
     included_nodes,
     kl_to_clean,
+    last_position,
     logit_diff,
     ranked_scores,
     score_threshold,
@@ -21,6 +22,8 @@ from ..operators.circuits import (
 )
 from ..operators.relational import ratio
 from ..operators.tokens import dictionary
+from ..session import materialized, scratch_path
+from ..sources.io import read_circuit_report, write_circuit_report
 from .catalog import register
 from .q_flow import _edges_sql, edges
 from .sqlparts import tokens_sql
@@ -202,11 +205,46 @@ SELECT (SELECT count(*) FROM top) AS kept_edges, count(*) AS total_edges,
 FROM edges""",
 )
 def ratio_report_q(spark: SparkSession, sf: str) -> DataFrame:
-    e = _seq_edges(spark, sf)
-    kept = top_n_edges(e, TOP_N, "weight", TIES).agg(F.count(F.lit(1)).alias("kept_edges"),
-                                                   F.sum(F.abs("weight")).alias("kept_w")).first()
-    tot = e.agg(F.count(F.lit(1)).alias("total_edges"), F.sum(F.abs("weight")).alias("w"))
-    return tot.select(
-        F.lit(kept["kept_edges"]).cast("long").alias("kept_edges"), "total_edges",
-        F.round(ratio(F.lit(kept["kept_edges"]), F.col("total_edges")), 6).alias("edge_fraction"),
-        F.round(ratio(F.lit(kept["kept_w"]), F.col("w")), 6).alias("metric_fraction"))
+    return _ratios(_seq_edges(spark, sf))
+
+
+def _ratios(e: DataFrame) -> DataFrame:
+    e = materialized(e, "circuit-edges")
+    kept = top_n_edges(e, TOP_N, "weight", TIES).agg(F.count(F.lit(1)).alias("kept_edges"), F.sum(F.abs("weight")).alias("kept_w"))
+    total = e.agg(F.count(F.lit(1)).alias("total_edges"), F.sum(F.abs("weight")).alias("w"))
+    return kept.crossJoin(total).select(  # one row each
+        "kept_edges", "total_edges", F.round(ratio(F.col("kept_edges"), F.col("total_edges")), 6).alias("edge_fraction"),
+        F.round(ratio(F.col("kept_w"), F.col("w")), 6).alias("metric_fraction"))
+
+
+@register(
+    "circuit_report",
+    "O12 O59",
+    f"""WITH {_edges_sql(False)},
+top AS (SELECT * FROM edges ORDER BY abs(weight) DESC, graph_id, src, dst LIMIT {TOP_N})
+SELECT {TOP_N} AS top_n, 'sequential' AS variant, (SELECT count(*) FROM top) AS kept_edges, count(*) AS total_edges,
+       round((SELECT count(*) FROM top) / count(*)::DOUBLE, 6) AS edge_fraction,
+       round((SELECT sum(abs(weight)) FROM top) / sum(abs(weight)), 6) AS metric_fraction
+FROM edges""",
+)
+def circuit_report_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics and parameters written as a JSON object and read back."""
+    path = scratch_path(spark, "report")
+    report = _ratios(_seq_edges(spark, sf)).withColumns({"top_n": F.lit(TOP_N), "variant": F.lit("sequential")})
+    write_circuit_report(report, path)
+    return read_circuit_report(spark, path, report.schema)
+
+
+@register(
+    "last_position",
+    "O99",
+    """WITH l AS (SELECT vec_id // 4 AS sample, vec_id % 4 AS pos, embedding FROM embeddings)
+SELECT sample, len(embedding) AS n, round(embedding[1]::DOUBLE, 6) AS first_logit, round(list_max(embedding)::DOUBLE, 6) AS largest
+FROM l WHERE pos = 1 + sample % 3""",
+)
+def last_position_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences of four positions, of which the first 2 to 4 count: the logits at each one's last."""
+    sample = F.floor(F.col("vec_id") / 4)
+    lg = _logits(spark, sf).select(sample.alias("sample"), (F.col("vec_id") % 4).alias("pos"), "v", (2 + sample % 3).alias("length"))
+    last = last_position(lg, "sample", "pos", "v", "length")
+    return last.select("sample", F.size("v").cast("long").alias("n"), F.round(F.get("v", F.lit(0)), 6).alias("first_logit"), F.round(F.array_max("v"), 6).alias("largest"))

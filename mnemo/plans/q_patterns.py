@@ -22,7 +22,7 @@ from ..functions.patterns import (
     portable,
     skeleton_lines,
 )
-from ..operators.filtering import cheap_rule, classify, filter_summary, middle_split, skeleton_similarity
+from ..operators.filtering import script_histogram, cheap_rule, classify, filter_summary, middle_split, skeleton_similarity
 from .catalog import register
 from .tables import table
 
@@ -237,3 +237,24 @@ def simple_pattern_q(spark: SparkSession, sf: str) -> DataFrame:
 @register("filter_summary", "O54 O76")
 def filter_summary_q(spark: SparkSession, sf: str) -> DataFrame:
     return filter_summary(classify(pairs(spark, sf)))
+
+
+@register(
+    "filter_summary_rules",
+    "O54 O75 O76",
+    f"""WITH {RULES_SQL}, r AS (SELECT {_rule_case()} AS rule FROM rules)
+SELECT count(*) AS total, count(rule) AS filtered, count(*) - count(rule) AS kept, round(count(rule) * 100.0::DOUBLE / nullif(count(*), 0), 6) AS filtered_pct FROM r""",
+)
+def filter_summary_rules_q(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_summary(classify(pairs(spark, sf), similar=False))
+
+
+@register(
+    "script_histogram",
+    "O73",
+    f"""SELECT doc_id, script, count(*) AS n FROM (
+  SELECT doc_id, unnest(list_transform(regexp_extract_all({s_nonlatin('text')}, '(?s).'), lambda ch: {s_script('ch')})) AS script FROM documents
+) GROUP BY ALL""",
+)
+def script_histogram_q(spark: SparkSession, sf: str) -> DataFrame:
+    return script_histogram(table(spark, sf, "documents"), "doc_id")

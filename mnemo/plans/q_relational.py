@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import escape_control, snippet
+from ..functions.tokens import escape_control, snippet, tokenize
 from ..operators.relational import (
     average_by_position,
     contiguous_shards,
@@ -14,10 +14,13 @@ from ..operators.relational import (
     min_max_normalize,
     rows_in,
     shuffle_head,
+    sort_by,
     take,
     train_test_split,
 )
+from ..operators.tokens import decode, dictionary, encode
 from .catalog import register
+from .sqlparts import tokens_sql
 from .tables import table
 
 
@@ -166,47 +169,64 @@ def min_max_normalize_q(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@register(
-    "average_by_position",
-    "O57",
-    """
+_POSITIONS_SQL = """
 WITH cells AS (
   SELECT (p - 1) AS pos, embedding[p]::DOUBLE AS value
-  FROM (SELECT embedding, unnest(generate_series(1, len(embedding))) AS p FROM embeddings WHERE label < 5)
+  FROM (SELECT embedding, unnest(generate_series(1, len(embedding))) AS p FROM embeddings)
 ),
 positions AS (SELECT range::INTEGER AS pos FROM range(0, 33))
-SELECT p.pos, round(coalesce(avg(c.value), 0.0), 6) AS avg_value
+SELECT p.pos, round(coalesce(avg(c.value), 0.0), 6) AS avg_value{more}
 FROM positions p LEFT JOIN cells c ON c.pos = p.pos GROUP BY p.pos
-""",
-)
+"""
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("pos", "value")).select(
+        "pos", F.col("value").cast("double").alias("value"))
+
+
+@register("average_by_position", "O57", _POSITIONS_SQL.format(more=""))
 def average_by_position_q(spark: SparkSession, sf: str) -> DataFrame:
-    emb = table(spark, sf, "embeddings").where(F.col("label") < 5)
-    cells = emb.select(F.posexplode("embedding").alias("pos", "value")).select(
-        "pos", F.col("value").cast("double").alias("value")
-    )
-    a = average_by_position(cells, "pos", "value", 32)
+    a = average_by_position(_cells(spark, sf), "pos", "value", 32)
     return a.select("pos", F.round("avg_value", 6).alias("avg_value"))
 
 
-@register(
-    "average_by_position_all",
-    "O57",
-    """
-WITH cells AS (
-  SELECT (p - 1) AS pos, embedding[p]::DOUBLE AS value
-  FROM (SELECT embedding, unnest(generate_series(1, len(embedding))) AS p FROM embeddings)
-),
-positions AS (SELECT range::INTEGER AS pos FROM range(0, 33))
-SELECT p.pos, round(coalesce(avg(c.value), 0.0), 6) AS avg_value, count(c.value) AS n_values
-FROM positions p LEFT JOIN cells c ON c.pos = p.pos GROUP BY p.pos
-""",
-)
+@register("average_by_position_all", "O57", _POSITIONS_SQL.format(more=", count(c.value) AS n_values"))
 def average_by_position_all_q(spark: SparkSession, sf: str) -> DataFrame:
-    """Over all rows; ``average_by_position`` reads those of five labels."""
-    cells = table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("pos", "value")).select(
-        "pos", F.col("value").cast("double").alias("value")
-    )
+    """With the number of values behind each mean."""
+    cells = _cells(spark, sf)
     a = average_by_position(cells, "pos", "value", 32)
     n = cells.groupBy("pos").agg(F.count("value").alias("n_values"))
     return a.join(n, "pos", "left").select("pos", F.round("avg_value", 6).alias("avg_value"),
                                            F.coalesce("n_values", F.lit(0)).alias("n_values"))
+
+
+@register(
+    "sorted_rows",
+    "O61",
+    "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, lang, doc_id) AS place FROM documents",
+)
+def sorted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    return sort_by(d, ["n_chars", "lang", "doc_id"], [False, True, True], "place").select("doc_id", "place")
+
+
+@register(
+    "ids_roundtrip",
+    "O26 O28",
+    f"""WITH d AS (SELECT doc_id, coalesce({tokens_sql('text')}, []) AS toks FROM documents),
+vocab AS (
+  SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS id FROM (SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM d) GROUP BY token)
+),
+ids AS (SELECT x.doc_id, list(v.id ORDER BY x.i) AS ids FROM (SELECT doc_id, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS i FROM d) x JOIN vocab v ON v.token = x.token GROUP BY x.doc_id)
+SELECT d.doc_id, len(d.toks)::INT AS n_ids, md5(coalesce(array_to_string(i.ids, ','), '')) AS ids_digest, md5(array_to_string(d.toks, ' ')) AS text_digest
+FROM d LEFT JOIN ids i ON i.doc_id = d.doc_id""",
+)
+def ids_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as ids of a dictionary of all tokens, and back."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce(tokenize("text"), F.array().cast("array<string>")).alias("toks"))
+    vocab = dictionary(d, "toks")
+    ids = encode(d, "toks", vocab).select("doc_id", "ids")
+    back = decode(ids, "ids", vocab, "tokens")
+    said = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    return back.select("doc_id", F.size("ids").alias("n_ids"), F.md5(said).alias("ids_digest"), F.md5(F.array_join("tokens", " ")).alias("text_digest"))
