@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textops import blocks
+from .textops import blocks, lean
 
 #: Fixed values of byte-level BPE: the pattern that cuts words, and the printable stand-ins of bytes.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -314,6 +314,7 @@ _TYPES = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_sh
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", want: tuple[str, ...] = ("ids",)) -> DataFrame:
     """The rows with the columns of ``want`` after theirs (a column of that name is replaced): ``ids``,
     ``n_tokens``, ``decoded`` (the text that the ids give back), and SHA-256 digests of both."""
+    lean(docs.sparkSession)
     path = path or default_path()
     kept = [f for f in docs.schema.fields if f.name not in want]
     schema = T.StructType([*kept, *[T.StructField(k, _TYPES[k]) for k in want]])

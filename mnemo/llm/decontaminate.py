@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .textops import _U, Words, blocks, mix, shingles, words
+from .textops import _U, Words, blocks, lean, mix, shingles, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -222,6 +222,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
           radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """(key, item, first word, words, similarity, distance) of every document and item that it holds."""
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, first_word int, n_words int, similarity double, distance int"
+    lean(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     item_type = to_arrow_type(items.schema[item_key].dataType)
     out = None
@@ -248,6 +249,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
                   radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """The rows whose text holds no item, with their columns, in one pass over the texts for each pass of items."""
+    lean(docs.sparkSession)
     counts = docs.sparkSession.sparkContext.broadcast(_counts(items, item_text))
     for ids, texts in _passes(items, item_key, item_text):
         sent = docs.sparkSession.sparkContext.broadcast((ids, texts))

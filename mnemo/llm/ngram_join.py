@@ -56,7 +56,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .textops import _U, blocks, mix, runs, shingles, words, written
+from .textops import _U, blocks, lean, mix, runs, shingles, words, written
 
 SLOTS = 1 << 20
 _CHUNK = 1 << 14
@@ -439,6 +439,7 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str
     ``n_links`` is how many other rows the row is linked to; without ``links`` it is left out, and only the links that components need are looked for.
     """
     spark = docs.sparkSession
+    lean(spark)
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     made = classes(docs, n)

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textops import lean
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "secret", "ssn")
 CONTEXT_CHARS = 48
@@ -178,6 +180,7 @@ def spans(text: Column | str) -> Column:
 
 
 def with_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
+    lean(docs.sparkSession)
     return docs.withColumn(into, spans(F.col(text)))
 
 
@@ -196,6 +199,7 @@ def mask(text: str | None) -> str | None:
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with the personal data of ``text`` masked (null stays null)."""
+    lean(docs.sparkSession)
 
     @F.pandas_udf("string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .learn import labelled_sample, logistic
-from .textops import _U, blocks, mix, shingles, words
+from .textops import _U, blocks, lean, mix, shingles, words
 
 TRAIN_ROWS = 8000
 TREES = 24
@@ -69,6 +69,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text: str = "text", into: str = "statistics") -> DataFrame:
     """The rows with one struct column of the statistics in place of the text column."""
+    lean(docs.sparkSession)
     names = [f.name for f in docs.schema.fields if f.name != text]
     fields = ", ".join(f"{s}: double" for s in STATISTICS)
     schema = ", ".join([*(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in names), f"`{into}` struct<{fields}>"])

@@ -196,6 +196,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of a text table that go to a Python worker at a time.
+ROWS_A_BATCH = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Lets whole texts go to Python workers in batches of at most ``ROWS_A_BATCH`` rows: both sides hold a batch of them.
+
+    This sets the session's ``spark.sql.execution.arrow.maxRecordsPerBatch``, unless it is smaller already.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_A_BATCH:
+        spark.conf.set(name, str(ROWS_A_BATCH))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

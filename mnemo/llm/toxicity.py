@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .learn import labelled_sample, logistic, sigmoid
-from .textops import blocks, utf8
+from .textops import blocks, lean, utf8
 
 ORDERS = (4, 5, 6, 7, 8)
 SLOTS = 1 << 20
@@ -118,6 +118,7 @@ def fit(docs: DataFrame, known: DataFrame, rows: int = TRAIN_ROWS, key: str = "d
 
 def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """The rows with their probability of being toxic, in place of the text column."""
+    lean(docs.sparkSession)
     names = [f.name for f in docs.schema.fields if f.name not in (text, into)]
     schema = ", ".join([*(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names), f"`{into}` double"])
     sent = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
