@@ -26,6 +26,10 @@ def prompt_table(docs: DataFrame, prompt_tokens: int, generation_tokens: int, id
     )
 
 
+#: The earlier name of what ``prompt_table`` does now: every row stays.
+prompt_table_all = prompt_table
+
+
 def score_prompts(prompts: DataFrame, model: DataFrame, k: int, generation_tokens: int) -> DataFrame:
     """O29 + O31: greedy completion of each context, scored against the true completion.
 
