@@ -46,15 +46,20 @@ def context_next_pairs(tokens_df: DataFrame, k: int, tokens_col: str = "tokens",
     return tokens_df.select(F.inline(F.flatten(F.array(*outs))))
 
 
-def train_next_token(corpus: DataFrame, k: int = 3, text_col: str = "text", min_order: int = 1) -> DataFrame:
+def train_next_token(corpus: DataFrame, k: int = 3, text_col: str = "text", min_order: int = 1, heads: DataFrame | None = None) -> DataFrame:
     """O29 (training): table ``(state STRING, next STRING, cnt BIGINT)``, one row per state.
 
     ``cnt`` is the count of the chosen continuation; ties go to the smallest token. Both
     aggregations are partial (map-side combined), so a hot context costs one row per task
     before the shuffle. ``min_order = k`` skips the shorter contexts when every walk starts
-    from at least k tokens.
+    from at least k tokens. With ``heads (token)`` shorter contexts are kept only if they begin with one of these:
+    a walk from fewer than k tokens keeps its first token until it has k.
     """
-    pairs = context_next_pairs(corpus.select(tokenize(text_col).alias("tokens")), k, min_order=min_order)
+    tokens = corpus.select(tokenize(text_col).alias("tokens"))
+    pairs = context_next_pairs(tokens, k, min_order=min_order if heads is None else k)
+    if heads is not None and k > 1:
+        short = context_next_pairs(tokens, k - 1).withColumn("token", F.get(F.split("state", " "), F.lit(0)))
+        pairs = pairs.unionByName(short.join(heads.select("token").distinct(), "token", "left_semi").select("state", "next"))
     counts = pairs.groupBy("state", "next").agg(F.count(F.lit(1)).alias("cnt"))
     best = counts.groupBy("state").agg(
         F.min(F.struct((-F.col("cnt")).alias("neg_cnt"), F.col("next").alias("next"))).alias("b")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import completion_part, context_part, detokenize, memorization_score, tokenize
+from ..session import materialized
 from .completion import greedy_complete, train_next_token
 from .relational import global_cumsum
 
@@ -62,8 +63,14 @@ def scored_prompts(docs: DataFrame, model: DataFrame, prompt_tokens: int = 30, g
 
 def memorization_scores(docs: DataFrame, training_docs: DataFrame, prompt_tokens: int = 30,
                         generation_tokens: int = 10, k: int = 3, keep=()) -> DataFrame:
-    """Whole stage 1: a model of ``training_docs`` and the D3 records of ``docs``."""
-    return scored_prompts(docs, train_next_token(training_docs, k), prompt_tokens, generation_tokens, k, keep)
+    """Whole stage 1: a model of ``training_docs`` and the D3 records of ``docs``.
+
+    Contexts shorter than k are learned only as far as some document has one.
+    """
+    contexts = prompt_table(docs, min(k, prompt_tokens), 0).where((F.size("context") > 0) & (F.size("context") < k))
+    heads = materialized(contexts.select(F.get("context", F.lit(0)).alias("token")).distinct(), "short-prompts")
+    model = train_next_token(training_docs, k, min_order=k, heads=None if heads.isEmpty() else heads)
+    return scored_prompts(docs, model, prompt_tokens, generation_tokens, k, keep)
 
 
 def score_summary(scores: DataFrame, by=(), score_col: str = "memorization_score") -> DataFrame:

@@ -94,3 +94,12 @@ def test_empty_corpus_and_samples(spark):
     some = spark.createDataFrame([(1, ["a", "b"])], "doc_id long, tokens array<string>")
     assert corrupt_token_candidates(some, none).count() == 0
     assert corrupt_token_candidates(some.where("false"), spark.createDataFrame([("a b",)], "text string")).count() == 0
+
+
+def test_short_contexts_are_learned_as_far_as_they_occur(spark):
+    texts = corpus_texts(8, 20)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, "a", "b c", "zz", "", None])], "doc_id long, text string")
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = counts_of(texts, 3)
+    got = {r.doc_id: r.completion for r in memorization_scores(docs, train, 4, 6, 3).collect()}
+    assert got == {k: stepwise(counts, tuple((t or "").split()[:4][-3:]), 6, 3) for k, t in enumerate([*texts, "a", "b c", "zz", "", None])}
