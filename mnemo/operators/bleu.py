@@ -1,13 +1,15 @@
 """BLEU as DataFrame jobs.
 
-A sample's hypothesis and references meet in one shuffle by sample id, as token arrays. There n-grams are
-exploded to rows (sample, order, ngram, reference number), counted, clipped by the largest count among the references and
-summed by order. All these groups contain the sample id, so nothing is shuffled again, and a frequent
-n-gram ("of the") is only ever grouped within one sample.
+A sample's hypothesis and references meet in one shuffle by sample id, as token arrays. Their n-grams are counted, clipped by
+the largest count among the references and summed by order inside the row, so that no row per n-gram is ever sorted,
+spilled or shuffled, and a frequent n-gram ("of the") is only ever counted within one sample.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +49,42 @@ def merge_reference_counts(ref_counts: DataFrame, id_col: str) -> DataFrame:
 
 
 def clipped_matches(hyp_counts: DataFrame, ref_max: DataFrame, id_col: str) -> DataFrame:
-    """Per (sample, order) sum of min(candidate count, reference max count)."""
-    j = hyp_counts.join(ref_max, [id_col, "ord", "ngram"])
-    return j.groupBy(id_col, "ord").agg(F.sum(F.least("cnt", "ref_cnt")).alias("matches"))
+    """Per (sample, order) sum of min(candidate count, reference max count).
 
+    Either side has one row per (sample, order, n-gram). Both are grouped together rather than joined: sides dealt alike by sample are
+    matched where they are.
+    """
+    keys = [id_col, "ord", "ngram"]
+    none = F.lit(None).cast("long")
+    sides = hyp_counts.select(*keys, "cnt", none.alias("ref_cnt")).union(ref_max.select(*keys, none.alias("cnt"), "ref_cnt"))
+    both = sides.where(F.col(id_col).isNotNull() & F.col("ngram").isNotNull()).groupBy(*keys).agg(F.max("cnt").alias("cnt"), F.max("ref_cnt").alias("ref_cnt"))
+    found = both.where(F.col("cnt").isNotNull() & F.col("ref_cnt").isNotNull())
+    return found.groupBy(id_col, "ord").agg(F.sum(F.least("cnt", "ref_cnt")).alias("matches"))
+
+
+def _grams(tokens: list, n: int) -> Counter:
+    """N-grams of one order with multiplicity, joined by spaces; null tokens are no 1-grams."""
+    if n == 1:
+        return Counter(t for t in tokens if t is not None)
+    return Counter(" ".join(t for t in g if t is not None) for g in zip(*(tokens[i:] for i in range(n)), strict=False))
+
+
+def _clipped(hyp: list, refs: list, max_order: int) -> list[int]:
+    """Clipped matches of one sample for the orders 1..N."""
+    out = []
+    for n in range(1, max_order + 1):
+        left = _grams(hyp, n)
+        best: dict[str, int] = {}
+        for r in refs:
+            for gram, cnt in _grams(r, n).items():
+                if gram in left and cnt > best.get(gram, 0):
+                    best[gram] = cnt
+        out.append(sum(min(left[gram], cnt) for gram, cnt in best.items()))
+    return out
 
-def bleu_stats(hyps: DataFrame, refs: DataFrame, id_col: str, hyp_col: str, ref_col: str,
-               max_order: int = 4) -> DataFrame:
-    """Per-sample sufficient statistics: ``(id, ord, matches, possible, hyp_len, ref_len)``.
+
+def sample_stats(hyps: DataFrame, refs: DataFrame, id_col: str, hyp_col: str, ref_col: str, max_order: int = 4) -> DataFrame:
+    """One row per sample: ``(id, matches ARRAY, possible ARRAY, hyp_len, ref_len)``, the arrays by order from 1.
 
     ``hyps``: one row per sample; ``refs``: one row per (sample, reference). The reference
     length is the shortest reference's. Samples without a hypothesis or without references give no rows.
@@ -62,50 +92,47 @@ def bleu_stats(hyps: DataFrame, refs: DataFrame, id_col: str, hyp_col: str, ref_
     def strings(col):
         return F.transform(F.col(col), lambda x: x.cast("string"))
 
+    @F.arrow_udf("array<bigint>")
+    def clipped(hyp: pa.Array, refs: pa.Array) -> pa.Array:
+        return pa.array([_clipped(h.as_py(), r.as_py(), max_order) for h, r in zip(hyp, refs, strict=True)], pa.list_(pa.int64()))
+
     sides = hyps.select(id_col, strings(hyp_col).alias("hyp"), F.lit(None).cast("array<string>").alias("ref")).unionByName(
         refs.select(id_col, F.lit(None).cast("array<string>").alias("hyp"), strings(ref_col).alias("ref")))
     samples = sides.groupBy(id_col).agg(F.collect_list("hyp").alias("hyps"), F.collect_list("ref").alias("refs")).where(
-        (F.size("hyps") > 0) & (F.size("refs") > 0))
-    hyp = F.get("hyps", F.lit(0))
-    # Number 0 is the hypothesis, then the references.
-    texts = samples.select(id_col, F.size(hyp).alias("hyp_len"), F.array_min(F.transform("refs", F.size)).alias("ref_len"),
-                           F.posexplode(F.concat(F.array(hyp), F.col("refs"))).alias("number", "tokens"))
-    keys = [id_col, "hyp_len", "ref_len"]
-    every_order = F.transform(F.sequence(F.lit(1), F.lit(max_order)), lambda n: F.struct(n.alias("ord"), F.lit(None).cast("string").alias("ngram")))
-    grams = texts.select(*keys, "number", F.inline(F.concat(every_order, _ngram_structs(F.col("tokens"), max_order))))
-    counts = grams.groupBy(*keys, "ord", "ngram", "number").agg(F.count(F.lit(1)).alias("cnt"))
-    sides = counts.groupBy(*keys, "ord", "ngram").agg(
-        F.sum(F.when(F.col("number") == 0, F.col("cnt"))).alias("hyp"), F.max(F.when(F.col("number") > 0, F.col("cnt"))).alias("ref"))
-    clipped = F.when(F.col("ngram").isNotNull() & F.col("hyp").isNotNull() & F.col("ref").isNotNull(), F.least("hyp", "ref")).otherwise(0)
-    return sides.groupBy(*keys, "ord").agg(F.sum(clipped).cast("long").alias("matches")).select(
-        id_col, "ord", "matches", F.greatest(F.col("hyp_len") - F.col("ord") + 1, F.lit(0)).cast("long").alias("possible"), "hyp_len", "ref_len")
+        (F.size("hyps") > 0) & (F.size("refs") > 0)).select(id_col, F.get("hyps", F.lit(0)).alias("hyp"), "refs")
+    orders = F.sequence(F.lit(1), F.lit(max_order))
+    return samples.select(
+        id_col, clipped("hyp", "refs").alias("matches"),
+        F.transform(orders, lambda n: F.greatest(F.size("hyp") - n + 1, F.lit(0)).cast("long")).alias("possible"),
+        F.size("hyp").alias("hyp_len"), F.array_min(F.transform("refs", F.size)).alias("ref_len"))
 
 
-def bleu_from_stats(stats: DataFrame, keys: list[str], max_order: int = 4, smooth: bool = False) -> DataFrame:
-    """BLEU and components from per-order statistics.
+def bleu_stats(hyps: DataFrame, refs: DataFrame, id_col: str, hyp_col: str, ref_col: str,
+               max_order: int = 4) -> DataFrame:
+    """Per-sample sufficient statistics: ``(id, ord, matches, possible, hyp_len, ref_len)``, one row per sample and order."""
+    samples = sample_stats(hyps, refs, id_col, hyp_col, ref_col, max_order)
+    rows = samples.select("*", F.explode(F.sequence(F.lit(1), F.lit(max_order))).alias("ord"))
+    return rows.select(id_col, "ord", F.element_at("matches", F.col("ord")).alias("matches"),
+                       F.element_at("possible", F.col("ord")).alias("possible"), "hyp_len", "ref_len")
 
-    ``stats`` holds ``(keys..., ord, matches, possible, hyp_len, ref_len)``; lengths are
-    constant per key group. Empty candidate or reference gives NULL.
-    """
+
+def _precision(matches: Column, possible: Column, smooth: bool) -> Column:
     if smooth:
-        prec = (F.col("matches") + 1.0) / (F.col("possible") + 1.0)
-    else:
-        prec = F.when(F.col("possible") > 0, F.col("matches") / F.col("possible").cast("double")).otherwise(F.lit(0.0))
-    agg = stats.withColumn("_p", prec).groupBy(*keys).agg(
-        F.min("_p").alias("min_p"),
-        F.sum(F.when(F.col("_p") > 0, F.log(F.col("_p")))).alias("log_sum"),
-        F.first("hyp_len").alias("hyp_len"),
-        F.first("ref_len").alias("ref_len"),
-        F.sort_array(F.collect_list(F.struct("ord", "_p"))).alias("_ps"),
-    )
-    geo = F.when(F.col("min_p") > 0, F.exp(F.col("log_sum") / max_order)).otherwise(F.lit(0.0))
+        return (matches + 1.0) / (possible + 1.0)
+    return F.when(possible > 0, matches / possible.cast("double")).otherwise(F.lit(0.0))
+
+
+def _formula(df: DataFrame, keys: list[str], max_order: int) -> DataFrame:
+    """BLEU (S7) of rows of ``(keys..., _ps, hyp_len, ref_len)``, ``_ps`` being the precisions by order."""
+    logs = F.aggregate("_ps", F.lit(0.0), lambda a, p: a + F.when(p > 0, F.log(p)).otherwise(0.0))
+    geo = F.when(F.array_min("_ps") > 0, F.exp(logs / max_order)).otherwise(F.lit(0.0))
     ratio = F.try_divide(F.col("hyp_len").cast("double"), F.col("ref_len").cast("double"))
     bp = F.when(ratio > 1.0, F.lit(1.0)).otherwise(F.exp(1.0 - F.try_divide(F.lit(1.0), ratio)))
     valid = (F.col("hyp_len") > 0) & (F.col("ref_len") > 0)
-    return agg.select(
+    return df.select(
         *keys,
         F.when(valid, geo * bp).alias("bleu"),
-        F.transform("_ps", lambda s: s["_p"]).alias("precisions"),
+        F.col("_ps").alias("precisions"),
         F.when(valid, bp).alias("brevity_penalty"),
         ratio.alias("length_ratio"),
         "hyp_len",
@@ -113,10 +140,26 @@ def bleu_from_stats(stats: DataFrame, keys: list[str], max_order: int = 4, smoot
     )
 
 
+def bleu_from_stats(stats: DataFrame, keys: list[str], max_order: int = 4, smooth: bool = False) -> DataFrame:
+    """BLEU and components from per-order statistics.
+
+    ``stats`` holds ``(keys..., ord, matches, possible, hyp_len, ref_len)``; lengths are
+    constant per key group. Empty candidate or reference gives NULL.
+    """
+    agg = stats.withColumn("_p", _precision(F.col("matches"), F.col("possible"), smooth)).groupBy(*keys).agg(
+        F.first("hyp_len").alias("hyp_len"),
+        F.first("ref_len").alias("ref_len"),
+        F.transform(F.sort_array(F.collect_list(F.struct("ord", "_p"))), lambda s: s["_p"]).alias("_ps"),
+    )
+    return _formula(agg, keys, max_order)
+
+
 def sentence_bleu(hyps: DataFrame, refs: DataFrame, id_col: str, hyp_col: str, ref_col: str,
                   max_order: int = 4, smooth: bool = False) -> DataFrame:
-    """One BLEU row per sample."""
-    return bleu_from_stats(bleu_stats(hyps, refs, id_col, hyp_col, ref_col, max_order), [id_col], max_order, smooth)
+    """One BLEU row per sample, from the sample's own arrays."""
+    samples = sample_stats(hyps, refs, id_col, hyp_col, ref_col, max_order)
+    precisions = F.transform(F.arrays_zip("matches", "possible"), lambda x: _precision(x["matches"], x["possible"], smooth))
+    return _formula(samples.select(id_col, precisions.alias("_ps"), "hyp_len", "ref_len"), [id_col], max_order)
 
 
 def corpus_bleu(hyps: DataFrame, refs: DataFrame, id_col: str, hyp_col: str, ref_col: str,

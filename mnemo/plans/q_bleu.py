@@ -139,6 +139,9 @@ def ngram_counts_q(spark: SparkSession, sf: str) -> DataFrame:
 )
 def clipped_matches_q(spark: SparkSession, sf: str) -> DataFrame:
     hyps, refs = hyps_refs(spark, sf, multi=True)
+    # Texts move once; their n-grams are counted where they are. The number is given, so parts are not merged by the size of the texts.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hyps, refs = hyps.repartition(parts, "pair_id"), refs.repartition(parts, "pair_id")
     hc = ngram_counts(hyps, ["pair_id"], "hyp", N)
     rc = ngram_counts(refs.withColumn("_ref", F.monotonically_increasing_id()), ["pair_id", "_ref"], "ref", N)
     m = clipped_matches(hc, merge_reference_counts(rc.drop("_ref"), "pair_id"), "pair_id")
