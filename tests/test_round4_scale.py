@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from mnemo.operators.bleu import clipped_matches, merge_reference_counts, ngram_counts, sentence_bleu
+from mnemo.operators.completion import greedy_walk, stored_model, train_next_token
 
 
 def plan(df):
@@ -26,3 +27,15 @@ def test_clipped_matches_sends_texts_only(spark):
     out = clipped_matches(hc, merge_reference_counts(rc.drop("_ref"), "id"), "id")
     assert plan(out).count("Exchange hashpartitioning") == 2
     assert {(r.id, r.ord): r.matches for r in out.collect()} == {(1, 1): 3, (1, 2): 1}
+
+
+def test_model_moves_once_and_walks_leave_it(spark):
+    corpus = spark.createDataFrame([("a b c d e f a b c d q",), ("a b c d e f",)], "text string")
+    model = train_next_token(corpus, 2, min_order=2)
+    assert plan(model).count("Exchange hashpartitioning") == 1
+    stored = stored_model(model)
+    starts = spark.createDataFrame([("a b", 3), ("z z", 2), ("e f", 0)], "start string, need int")
+    step = starts.withColumnRenamed("start", "state").hint("shuffle_hash").join(stored, "state")
+    assert plan(step).count("Exchange hashpartitioning") == 1
+    got = {r.start: r.generated for r in greedy_walk(starts, stored, 2, stored=True).collect()}
+    assert got == {"a b": ["c", "d", "e"], "z z": [], "e f": []}
