@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import ngram_array, snippet, tokenize
+from ..session import materialized
 
 # Fixed value: the relation that is never returned.
 TYPE_RELATION = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -31,19 +32,23 @@ def link_entities(docs: DataFrame, gazetteer: DataFrame, max_words: int = 3, id_
     is dropped. Null and empty texts have no mentions. The type list is split at commas (an empty
     list gives one empty string).
     """
-    words = docs.select(F.col(id_col).alias("_id"), tokenize(text).alias("_w"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Texts move once, by id; spans are looked up, and the longest ones found, where they are.
+    words = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).repartition(parts, "_id").select("_id", tokenize("_t").alias("_w"))
+    # Written, so that the planner knows its size and sends it to the spans if small, not the spans to it.
+    entries = materialized(best_entries(gazetteer), "gazetteer")
 
     def grams(n: int):
         return F.transform(ngram_array("_w", n), lambda g, i: F.struct((i + 1).alias("pos"), F.lit(n).alias("n_words"), g.alias("surface")))
 
     spans = words.select("_id", F.inline(F.flatten(F.array(*[grams(n) for n in range(1, max_words + 1)]))))
-    found = spans.join(best_entries(gazetteer), "surface")
+    found = spans.join(entries.select("surface"), "surface", "left_semi")
     # One text's mentions: the running end of all earlier starts.
-    longest = found.groupBy("_id", "pos").agg(F.max_by(F.struct("n_words", "surface", "uri", "types", "confidence"), "n_words").alias("_m")).select(
-        "_id", "pos", "_m.*")
+    longest = found.groupBy("_id", "pos").agg(F.max(F.struct("n_words", "surface")).alias("_m")).select("_id", "pos", "_m.*")
     before = Window.partitionBy("_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     reach = longest.withColumn("_end", F.max(F.col("pos") + F.col("n_words")).over(before))
-    return reach.where(F.col("_end").isNull() | (F.col("_end") < F.col("pos") + F.col("n_words"))).drop("_end").withColumnRenamed("_id", id_col)
+    kept = reach.where(F.col("_end").isNull() | (F.col("_end") < F.col("pos") + F.col("n_words"))).drop("_end")
+    return kept.join(entries, "surface").select(F.col("_id").alias(id_col), "pos", "n_words", "surface", "uri", "types", "confidence")
 
 
 def top_entities(mentions: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
@@ -81,7 +86,8 @@ def entity_mapping(docs: DataFrame, mentions: DataFrame, relations: DataFrame, i
     entities = mentions.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]).alias("entities"))
     chosen = mentions if max_entities is None else top_entities(mentions, max_entities, id_col)
     last = chosen.groupBy(id_col, "surface").agg(F.max_by(F.struct("uri", "types"), "pos").alias("_l")).select(id_col, "surface", "_l.*")
-    listed = relations.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct("relation", "target"))).alias("relations"))
+    # Written, so that the planner knows its size: sent to the mentions if small, which then stay by text.
+    listed = materialized(relations.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct("relation", "target"))).alias("relations")), "relations")
     mapped = last.join(listed, "uri").groupBy(id_col).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("surface", F.struct("uri", "types", "relations").alias("value"))))).alias("relations"))
     whole = docs.select(id_col, F.when(F.length(text) > 0, snippet(text)).alias("text_snippet"))

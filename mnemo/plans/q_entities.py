@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import ngram_array, tokenize
 from ..operators.entities import TYPE_RELATION, entity_mapping, link_entities, top_entities, triple_lookup
-from ..session import materialized
+from ..session import bucketed
 from .catalog import register
 from .sqlparts import tokens_sql
 from .tables import table
@@ -115,7 +115,7 @@ SELECT d.doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' WHEN
        coalesce(n_relations, 0) AS n_relations
 FROM documents d LEFT JOIN ents USING (doc_id) LEFT JOIN maps USING (doc_id)""")
 def entity_mapping_q(spark: SparkSession, sf: str) -> DataFrame:
-    m = materialized(_mentions(spark, sf), "mentions")  # found once, used three times
+    m = bucketed(_mentions(spark, sf), "doc_id", "mentions")  # found once, used three times; by text already
     out = entity_mapping(table(spark, sf, "documents"), m, triple_lookup(m, triples(spark, sf)))
     return out.select("doc_id", "text_snippet", F.size("entities").alias("n_entities"),
                       F.array_join(F.transform("entities", lambda e: e["text"]), "|").alias("entity_texts"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mnemo.operators.bleu import clipped_matches, merge_reference_counts, ngram_counts, sentence_bleu
 from mnemo.operators.completion import greedy_walk, stored_model, train_next_token
+from mnemo.operators.entities import link_entities
 
 
 def plan(df):
@@ -39,3 +40,13 @@ def test_model_moves_once_and_walks_leave_it(spark):
     assert plan(step).count("Exchange hashpartitioning") == 1
     got = {r.start: r.generated for r in greedy_walk(starts, stored, 2, stored=True).collect()}
     assert got == {"a b": ["c", "d", "e"], "z z": [], "e f": []}
+
+
+def test_mentions_move_texts_once(spark):
+    docs = spark.createDataFrame([(1, "new york city is new"), (2, None), (3, "york")], "doc_id long, text string")
+    names = spark.createDataFrame([("new york", "u1", "a,b", 0.5), ("york city", "u2", "", 0.9), ("new", "u3", "c", 1.0), ("new", "u0", "c", 0.1)],
+                                  "surface string, uri string, types string, confidence double")
+    out = link_entities(docs, names, 2)
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    got = sorted((r.doc_id, r.pos, r.n_words, r.surface, r.uri, tuple(r.types)) for r in out.collect())
+    assert got == [(1, 1, 2, "new york", "u1", ("a", "b")), (1, 2, 2, "york city", "u2", ("",)), (1, 5, 1, "new", "u3", ("c",))]
