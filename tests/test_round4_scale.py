@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from mnemo.operators.bleu import clipped_matches, merge_reference_counts, ngram_counts, sentence_bleu
 from mnemo.operators.completion import greedy_walk, stored_model, train_next_token
 from mnemo.operators.entities import link_entities
+from mnemo.operators.matching import fit_idf, tfidf_vectors
 
 
 def plan(df):
@@ -50,3 +51,13 @@ def test_mentions_move_texts_once(spark):
     assert plan(out).count("Exchange hashpartitioning") == 1
     got = sorted((r.doc_id, r.pos, r.n_words, r.surface, r.uri, tuple(r.types)) for r in out.collect())
     assert got == [(1, 1, 2, "new york", "u1", ("a", "b")), (1, 2, 2, "york city", "u2", ("",)), (1, 5, 1, "new", "u3", ("c",))]
+
+
+def test_norm_is_summed_once_a_row(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["c"]), (3, [])], "id long, toks array<string>")
+    out = tfidf_vectors(docs, "toks", fit_idf(docs, "toks"))
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    # The sum stands outside the lambda over the cells: it is an element of an array, not an operand there.
+    assert "/ SQRT(aggregate(" not in text and "/ lambda" in text
+    got = {r.id: sum(c["weight"] ** 2 for c in r.vec) for r in out.collect()}
+    assert abs(got[1] - 1) < 1e-12 and abs(got[2] - 1) < 1e-12 and got[3] == 0
