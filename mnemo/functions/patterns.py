@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 # Python's whitespace code points (str.isspace), as a regex class.
 PY_WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
-NON_WORD = "[^\\p{L}\\p{N}_]+"
-DIGITS = "^\\p{Nd}+$"
+NUMBER = "(?<![\\p{L}\\p{N}_])\\p{Nd}++(?![\\p{L}\\p{N}_])"
 
 # The 18 structure patterns of the reference filter, in its order
 # (html pair, table row, numbered item, bullet item, star item, path with digits, indented
@@ -52,6 +51,10 @@ def portable(pattern: str) -> str:
     return pattern.replace("\\s", PY_WS).replace("\\d", "\\p{Nd}")
 
 
+# For each of the patterns a literal that every match of it holds. A text without it is not searched.
+STRUCTURE_LITERALS = ["</", "|-", ".", "\u2022", "*", "/", ".", "Licensed under the Apache License", "Category:", "![](", "[](", "Copyright ", ":", "&#",
+                      'class="', "[@bib", "<!DOCTYPE", "xmlns"]
+
 # Java flags: multiline (^ after every \n) and unix lines ('.' excludes only \n), as in Python.
 STRUCTURE_PATTERNS = ["(?md)" + portable(p) for p in STRUCTURE_PATTERNS_PY]
 
@@ -101,8 +104,8 @@ def _let(value: Column, body) -> Column:
 
 def numbers(s) -> Column:
     """Integers of ``\\b(\\d+)\\b`` in order, of any length, as ASCII digits without leading zeros."""
-    words = F.filter(F.split(_c(s), NON_WORD), lambda w: w.rlike(DIGITS))
-    return F.transform(words, lambda w: F.regexp_replace(
+    found = F.regexp_extract_all(_c(s), F.lit(NUMBER), F.lit(0))
+    return F.transform(found, lambda w: F.regexp_replace(
         F.when(w.rlike("^[0-9]+$"), w).otherwise(F.translate(w, DIGITS_FROM, DIGITS_TO)), "^0+(?=.)", ""))
 
 
@@ -191,53 +194,64 @@ def is_line_by_line_sequential(text, completion) -> Column:
 
             return _let(F.struct(increments(t).alias("ti"), increments(c).alias("ci")), judge)
 
-        return z["enough"] & (F.size(t) >= 2) & (F.size(c) >= 2) & _with_arithmetic(F.flatten(F.concat(t, c)), rule)
+        return (F.size(t) >= 2) & (F.size(c) >= 2) & _with_arithmetic(F.flatten(F.concat(t, c)), rule)
 
     def split_lines(y):
-        return _let(F.struct(((F.size(y["t"]) >= 2) & (F.size(y["c"]) >= 2)).alias("enough"),
-                             _numbered_lines(y["t"]).alias("t"), _numbered_lines(y["c"]).alias("c")), decide)
+        # Lines are searched for numbers only if there are two on both sides.
+        return (F.size(y["t"]) >= 2) & (F.size(y["c"]) >= 2) & _let(
+            F.struct(_numbered_lines(y["t"]).alias("t"), _numbered_lines(y["c"]).alias("c")), decide)
 
     both_lines = F.struct(lines(py_strip(text)).alias("t"), lines(py_strip(completion)).alias("c"))
     return F.coalesce(_let(both_lines, split_lines), F.lit(False))
 
 
-def _nonspace_chars(s) -> Column:
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(_c(s), f"{PY_WS}+", ""), ""), lambda c: c != F.lit("")))
+def _nonspace(s) -> Column:
+    return F.regexp_replace(_c(s), f"{PY_WS}+", "")
+
+
+def _single_char(ns: Column) -> Column:
+    """Whether a text is one character again and again."""
+    return (F.length(ns) > 0) & (F.length(F.replace(ns, F.left(ns, F.lit(1)), F.lit(""))) == 0)
 
 
 def is_repeated_text(text, completion) -> Column:
     """O70 (S13)."""
     t, c = _c(text), _c(completion)
-    # A window of three words is in the joined completion: as three whole words, or (rarely) with its outer
-    # words inside longer ones, which is searched only if middle words and touching letters agree somewhere.
+    # A window of three words is in the joined completion as three whole words, or with its outer words inside longer
+    # ones. Either way a window of the completion has its middle word and touching letters: only such windows are searched for.
     def windows(ws, fn):
         n = F.greatest(F.size(ws) - 2, F.lit(0))
         return F.zip_with(F.zip_with(F.slice(ws, 1, n), F.slice(ws, 2, n), lambda x, y: F.struct(x.alias("a"), y.alias("b"))),
                           F.slice(ws, 3, n), lambda p, z: fn(p["a"], p["b"], z))
 
-    def whole(x, y, z):
-        return F.concat_ws(" ", x, y, z)
-
     def touching(x, y, z):
         return F.concat_ws(" ", F.right(x, F.lit(1)), y, F.left(z, F.lit(1)))
 
     def shares_window(z):
         tw, cw = z["tw"], z["cw"]
-        inside = _let(F.array_join(cw, " "), lambda joined: F.exists(windows(tw, whole), lambda w: F.contains(joined, w)))
-        return (F.size(tw) >= 3) & (F.size(cw) >= 3) & (
-            F.arrays_overlap(windows(tw, whole), windows(cw, whole))
-            | (F.arrays_overlap(windows(tw, touching), windows(cw, touching)) & inside))
+
+        def search(y):
+            def held(a, b, c):
+                return F.array_contains(y["common"], touching(a, b, c)) & F.contains(y["joined"], F.concat_ws(" ", a, b, c))
+
+            return (F.size(y["common"]) > 0) & F.exists(windows(tw, held), lambda w: w)
+
+        common = F.array_intersect(windows(tw, touching), windows(cw, touching))
+        return (F.size(tw) >= 3) & (F.size(cw) >= 3) & _let(F.struct(common.alias("common"), F.array_join(cw, " ").alias("joined")), search)
 
     phrase = _let(F.struct(py_words(t).alias("tw"), py_words(c).alias("cw")), shares_window)
-    tlines = lines(py_strip(t))
-    pattern = F.array_join(F.slice(tlines, F.greatest(F.size(tlines) - 2, F.lit(1)), 3), "\n")
-    tail = F.contains(F.array_join(lines(py_strip(c)), "\n"), pattern)
-    tchars, cchars = _nonspace_chars(t), _nonspace_chars(c)
-    single = (F.length(t) > 3) & (F.length(c) > 3) & (F.size(tchars) == 1) & (F.size(cchars) == 1) & (
-        F.try_element_at(tchars, F.lit(1)) == F.try_element_at(cchars, F.lit(1))
-    )
-    rule = (py_strip(t) == py_strip(c)) | phrase | tail | single
-    return F.coalesce((F.length(t) > 0) & (F.length(c) > 0) & rule, F.lit(False))
+    def last_lines(stripped):
+        return _let(lines(stripped), lambda ls: F.array_join(F.slice(ls, F.greatest(F.size(ls) - 2, F.lit(1)), 3), "\n"))
+
+    ends = _let(F.struct(py_strip(t).alias("t"), py_strip(c).alias("c")), lambda z: (z["t"] == z["c"]) | F.contains(z["c"], last_lines(z["t"])))
+    single = (F.length(t) > 3) & (F.length(c) > 3) & _let(F.struct(_nonspace(t).alias("t"), _nonspace(c).alias("c")), lambda z: (
+        F.left(z["t"], F.lit(1)) == F.left(z["c"], F.lit(1))) & _single_char(z["t"]) & _single_char(z["c"]))
+    return F.coalesce((F.length(t) > 0) & (F.length(c) > 0) & (ends | single | phrase), F.lit(False))
+
+
+def _density(s, count: Column, i: int) -> Column:
+    """Whether structure pattern i has more than 0.3 matches a line of ``s``."""
+    return F.contains(s, F.lit(STRUCTURE_LITERALS[i])) & ((F.regexp_count(s, F.lit(STRUCTURE_PATTERNS[i])) / count) > 0.3)
 
 
 def structure_density_hit(text, completion) -> Column:
@@ -245,10 +259,7 @@ def structure_density_hit(text, completion) -> Column:
     t, c = _c(text), _c(completion)
     tn = F.greatest(F.size(lines(t)), F.lit(1))
     cn = F.greatest(F.size(lines(c)), F.lit(1))
-    hits = [
-        ((F.regexp_count(t, F.lit(p)) / tn) > 0.3) & ((F.regexp_count(c, F.lit(p)) / cn) > 0.3)
-        for p in STRUCTURE_PATTERNS
-    ]
+    hits = [_density(t, tn, i) & _density(c, cn, i) for i in range(len(STRUCTURE_PATTERNS))]
     out = hits[0]
     for h in hits[1:]:
         out = out | h
@@ -262,9 +273,7 @@ def matched_structure(text, completion) -> Column:
     cn = F.greatest(F.size(lines(c)), F.lit(1))
     out = F.lit(None).cast("int")
     for i in reversed(range(len(STRUCTURE_PATTERNS))):
-        p = F.lit(STRUCTURE_PATTERNS[i])
-        hit = ((F.regexp_count(t, p) / tn) > 0.3) & ((F.regexp_count(c, p) / cn) > 0.3)
-        out = F.when(hit, F.lit(i)).otherwise(out)
+        out = F.when(_density(t, tn, i) & _density(c, cn, i), F.lit(i)).otherwise(out)
     return out
 
 
@@ -289,18 +298,21 @@ def script_of(ch: Column) -> Column:
 
 def dominant_script(s) -> Column:
     """Most frequent script among non-ASCII characters; tie -> the one seen first."""
-    chars = F.filter(F.split(non_latin(s), ""), lambda c: c != F.lit(""))
-    scripts = F.transform(chars, script_of)
-    def count_of(lab):
-        return F.size(F.filter(scripts, lambda x: x == F.lit(lab)))
+    return _let(non_latin(s), _dominant)
 
+
+def _dominant(nl: Column) -> Column:
+    ranges = {label: f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for label, lo, hi in SCRIPT_RANGES}
+    known = "".join(ranges.values())
+    # (characters of the script, all others) as regex classes
+    classes = {label: (f"[{r}]", f"[^{r}]+") for label, r in ranges.items()} | {"Other": (f"[^{known}]", f"[{known}]+")}
     cands = [
         F.struct(
-            count_of(lab).alias("n"),
-            (-F.array_position(scripts, F.lit(lab))).alias("first"),
-            F.lit(lab).alias("script"),
+            F.length(F.regexp_replace(nl, others, "")).alias("n"),
+            (-F.regexp_instr(nl, F.lit(own))).alias("first"),
+            F.lit(label).alias("script"),
         )
-        for lab in SCRIPT_LABELS
+        for label, (own, others) in classes.items()
     ]
     best = F.array_max(F.filter(F.array(*cands), lambda x: x["n"] > 0))
     return best["script"]
@@ -312,25 +324,28 @@ def is_repetitive(s) -> Column:
     The count of a longer prefix never exceeds that of a shorter one, so the scan stops
     (the fold state turns ``dead``) at the first prefix that no longer repeats.
     """
-    s = _c(s)
-    n = F.length(s)
-
-    def step(acc, length):
-        prefix = F.substring(s, 1, length)
-        cnt = (n - F.length(F.replace(s, prefix, F.lit("")))) / length
-        skip = acc["found"] | acc["dead"]
-        return F.when(skip, acc).otherwise(
-            F.struct(((cnt > 1) & (cnt * length > n / 2)).alias("found"), (cnt <= 1).alias("dead"))
-        )
+    def scan(z):
+        s, n = z["s"], z["n"]
 
-    init = F.struct(F.lit(False).alias("found"), F.lit(False).alias("dead"))
-    res = F.aggregate(F.sequence(F.lit(2), F.greatest(F.floor(n / 2).cast("int"), F.lit(2))), init, step)
-    return F.coalesce((n >= 4) & res["found"], F.lit(False))
+        def step(acc, length):
+            prefix = F.substring(s, 1, length)
+            cnt = (n - F.length(F.replace(s, prefix, F.lit("")))) / length
+            skip = acc["found"] | acc["dead"]
+            return F.when(skip, acc).otherwise(_let(cnt, lambda c: F.struct(
+                ((c > 1) & (c * length > n / 2)).alias("found"), (c <= 1).alias("dead"))))
+
+        init = F.struct(F.lit(False).alias("found"), F.lit(False).alias("dead"))
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.floor(n / 2).cast("int"), F.lit(2))), init, step, lambda acc: acc["found"])
+
+    # Text and length are bound: the scan would work them out again at every step.
+    both = _let(_c(s), lambda x: _let(F.struct(x.alias("s"), F.length(x).alias("n")), lambda z: (z["n"] >= 4) & scan(z)))
+    return F.coalesce(both, F.lit(False))
 
 
 def script_repetition(text, completion) -> Column:
     """Third arm of O75: both have non-ASCII text, same dominant script, both repetitive."""
-    nt, nc = non_latin(text), non_latin(completion)
-    same = dominant_script(text) == dominant_script(completion)
-    return F.coalesce((F.length(nt) > 0) & (F.length(nc) > 0) & same & is_repetitive(nt) & is_repetitive(nc),
-                      F.lit(False))
+    def decide(z):
+        nt, nc = z["t"], z["c"]
+        return (F.length(nt) > 0) & (F.length(nc) > 0) & is_repetitive(nt) & is_repetitive(nc) & (_dominant(nt) == _dominant(nc))
+
+    return F.coalesce(_let(F.struct(non_latin(text).alias("t"), non_latin(completion).alias("c")), decide), F.lit(False))

@@ -42,6 +42,28 @@ def skeleton_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+#: Skeletons more alike than this make a pair a simple structure.
+SIMILAR = 0.8
+
+
+@F.pandas_udf(T.BooleanType())
+def similar_skeletons(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether ``skeleton_similarity`` is over ``SIMILAR`` (NULL in -> NULL out). Its two upper bounds come first: lengths, then counts of characters."""
+    from difflib import SequenceMatcher
+
+    out = []
+    for x, y in zip(a, b):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        sx, sy = str([str(v) for v in x]), str([str(v) for v in y])
+        m = None
+        if 2.0 * min(len(sx), len(sy)) / (len(sx) + len(sy)) > SIMILAR:
+            m = SequenceMatcher(None, sx, sy)
+        out.append(m is not None and m.quick_ratio() > SIMILAR and m.ratio() > SIMILAR)
+    return pd.Series(out, dtype="object")
+
+
 def cheap_rule(text, completion) -> Column:
     """First matching JVM-side rule, in the reference order; NULL when none matches."""
     return F.coalesce(
@@ -66,11 +88,11 @@ def classify(df: DataFrame, text: str = "text", completion: str = "completion",
     staged = df.withColumn("_cheap", cheap_rule(t, c))
     multi = (F.size(lines(py_strip(t))) >= 2) & (F.size(lines(py_strip(c))) >= 2)
     undecided = F.col("_cheap").isNull() & multi
-    sim = skeleton_similarity(
+    sim = similar_skeletons(
         F.when(undecided, skeleton_lines(t)), F.when(undecided, skeleton_lines(c))
     )
     out = staged.withColumn(
-        "rule", F.coalesce(F.col("_cheap"), F.when(sim > 0.8, F.lit("simple_structure")))
+        "rule", F.coalesce(F.col("_cheap"), F.when(sim, F.lit("simple_structure")))
     )
     return out.drop("_cheap")
 
