@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import context_part, detokenize, tokenize
+from ..functions.tokens import detokenize, first_tokens
 from ..operators.corruption import corrupt_token_candidates
 from .catalog import register
 from .q_scores import K, P, training_docs
@@ -48,6 +48,6 @@ FROM (
 ) p""",
 )
 def corrupt_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    contexts = table(spark, sf, "documents").select("doc_id", context_part(tokenize("text"), P).alias("tokens"))
+    contexts = table(spark, sf, "documents", light=True).select("doc_id", first_tokens("text", P).alias("tokens"))
     out = corrupt_token_candidates(contexts, training_docs(spark, sf), K)
     return out.select("doc_id", "position", "token", "candidate", detokenize("corrupted").alias("corrupted"))
