@@ -4,8 +4,6 @@ import pytest
 
 from mnemo.functions.tokens import first_tokens, tokenize
 from mnemo.operators import corruption
-from mnemo.operators.completion import train_next_token
-from mnemo.operators.divergence import minimal_context, prefix_scores
 from mnemo.operators.memorization import memorization_scores
 
 
@@ -16,6 +14,17 @@ def test_first_tokens_are_those_of_the_whole_text(spark, n):
     assert [r["head"] for r in rows] == [None if r["all"] is None else r["all"][:n] for r in rows]
 
 
+def test_documents_are_read_once_for_scores(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "a b c d e"), (2, "a b"), (2, "a b"), (None, "b c d e a"), (3, None)], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    out = memorization_scores(docs, docs, 2, 3, 2)
+    assert out.inputFiles() and not any(path in f for f in out.inputFiles())
+    got = sorted((str(r.doc_id), r.completion, r.memorization_score, r.status) for r in out.collect())
+    assert got == [("1", ["c", "d", "e"], 1.0, "full"), ("2", ["c", "d", "e"], 0.0, "short"), ("2", ["c", "d", "e"], 0.0, "short"),
+                   ("3", [], 0.0, "short"), ("None", ["d", "e", "a"], 1.0, "full")]
+
+
 def test_followers_are_counted_for_open_places_only(spark, monkeypatch):
     texts = [" ".join(f"w{i % 7}{'x' * (i % 3)}" for i in range(200)), "w1x rare w3", "w1x w0"]
     written = {}
