@@ -4,6 +4,8 @@ import pytest
 
 from mnemo.functions.tokens import first_tokens, tokenize
 from mnemo.operators import corruption
+from mnemo.operators.completion import train_next_token
+from mnemo.operators.divergence import minimal_context, prefix_scores
 from mnemo.operators.memorization import memorization_scores
 
 
@@ -25,6 +27,23 @@ def test_documents_are_read_once_for_scores(spark, tmp_path):
                    ("3", [], 0.0, "short"), ("None", ["d", "e", "a"], 1.0, "full")]
 
 
+def test_prefixes_leave_their_texts_behind(spark):
+    model = train_next_token(spark.createDataFrame([("a b c d e f",), ("a b x",), ("a b x",)], "text string"), 2)
+    rows = [(1, ["a", "b"], ["c", "d"]), (1, ["c", "d"], ["e", "f"]), (None, ["a"], ["b"]), (None, ["q"], ["b"]), (2, [], ["a"]), (3, ["a"], [])]
+    samples = spark.createDataFrame(rows, "doc_id long, context array<string>, true_completion array<string>")
+    scored = prefix_scores(samples, model, 2)
+    got = sorted((str(r.doc_id), r.length, r.prefix, r.rest, r.generated, r.next_wrong) for r in scored.collect())
+    assert got == [
+        ("1", 1, ["a"], ["b", "c", "d"], ["b", "x"], False), ("1", 1, ["c"], ["d", "e", "f"], ["d", "e", "f"], False),
+        ("1", 2, ["a", "b"], ["c", "d"], ["x"], True), ("1", 2, ["c", "d"], ["e", "f"], ["e", "f"], False),
+        ("3", 1, ["a"], [], [], True), ("None", 1, ["a"], ["b"], ["b"], False), ("None", 1, ["q"], ["b"], [], True)]
+    out = minimal_context(scored)._jdf.queryExecution()
+    lines = out.optimizedPlan().toString().split("\n")
+    sent = lines[next(i for i, x in enumerate(lines) if "Join LeftOuter, (_start" in x) + 1]
+    assert "Project [" in sent and "AS rest" not in sent and "rest#" not in sent
+    assert out.executedPlan().toString().count("Exchange hashpartitioning(doc_id") == 1
+
+
 def test_followers_are_counted_for_open_places_only(spark, monkeypatch):
     texts = [" ".join(f"w{i % 7}{'x' * (i % 3)}" for i in range(200)), "w1x rare w3", "w1x w0"]
     written = {}
