@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemo.functions.bleu import row_bleu
-from mnemo.operators import completion
+from mnemo import session
+from mnemo.operators import completion, corruption, pipeline
 from mnemo.operators.completion import greedy_walk, stored_model, stored_texts, train_next_token
 from mnemo.operators.divergence import prefix_scores
+from mnemo.sources import io
 
 SAMPLES = "doc_id long, context array<string>, true_completion array<string>"
 
@@ -113,3 +115,52 @@ def bleu(hyp, ref, smooth):
             return 0.0
         logs += math.log(p)
     return math.exp(logs / 4) * min(1.0, math.exp(1 - len(ref) / len(hyp)))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_pipeline_writes_its_model_once(spark, monkeypatch):
+    texts = [(i, t) for i, t in enumerate(corpus_texts(4, 20))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    written, write = [], session.bucketed
+    for module in (completion, io):
+        monkeypatch.setattr(module, "bucketed", lambda *a: written.append(a[1]) or write(*a))
+    folder = session.scratch_path(spark, "chain")
+
+    def run():
+        return pipeline.run_pipeline(spark, ("docs", docs), ("train", docs), folder, prompt_tokens=6, generation_tokens=5, k=2, threshold=0.4)
+
+    first = run()
+    assert written == ["text_row", "state"]
+    known = chosen([t for _, t in texts], 2)
+    assert {x.doc_id: x.completion for x in first.tables["scores"].collect()} == {i: walk(known, (t or "").split()[:6], 5, 2) if (t or "").split() else [] for i, t in texts}
+    starts = spark.createDataFrame([("a b",)], "state string").hint("shuffle_hash")
+    rows = sorted(map(tuple, first.tables["evaluation"].collect()))
+    assert rows and plan(starts.join(first.tables["model"], "state")).count("Exchange hashpartitioning") == 1
+    for name in [x.name for x in spark.catalog.listTables() if x.name.startswith("mnemo_")]:
+        spark.sql(f"DROP TABLE {name}")  # as in another session
+    again = run()
+    assert again.built == [] and sorted(map(tuple, again.tables["evaluation"].collect())) == rows
+    assert plan(starts.join(again.tables["model"], "state")).count("Exchange hashpartitioning") == 1
+
+
+def test_followers_of_states_send_no_other_pairs(spark, monkeypatch):
+    texts = corpus_texts(6)
+    corpus = spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = spark.createDataFrame([("a b",), ("a b",), ("c",), ("x y x",), ("zz",), (None,)], "state string")
+    want = Counter()
+    for t in texts:
+        w = (t or "").split()
+        want.update((" ".join(w[i:i + n]), w[i + n]) for n in (1, 2, 3) for i in range(len(w) - n) if " ".join(w[i:i + n]) in ("a b", "c", "x y x"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for held in (2_000_000, 2):
+            monkeypatch.setattr(corruption, "HELD_STATES", held, raising=False)
+            found = corruption.followers(corpus, 3, asked)
+            assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi, (xxhash64(state") == (2 if held == 2 else 1)
+            assert {(r.state, r.next): r.cnt for r in found.collect()} == dict(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
