@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemo.functions.bleu import row_bleu
 from mnemo import session
-from mnemo.operators import completion, corruption, pipeline
+from mnemo.operators import completion, corruption, pipeline, tokens
 from mnemo.operators.completion import greedy_walk, stored_model, stored_texts, train_next_token
 from mnemo.operators.divergence import prefix_scores
 from mnemo.sources import io
@@ -164,3 +164,35 @@ def test_followers_of_states_send_no_other_pairs(spark, monkeypatch):
             assert {(r.state, r.next): r.cnt for r in found.collect()} == dict(want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_elements_are_looked_up_once_a_chunk(spark, monkeypatch):
+    words = [f"w{i % 9}" for i in range(40)]
+    rows = [(i // 2, words[i % 7:i % 7 + i % 5], "x") for i in range(60)] + [(None, ["w1", None, "w2"], None), (70, None, "y"), (71, [], "z"), (72, ["new", "w0"], "q"), (73, ["é"] * 3, "é")]
+    frame = spark.createDataFrame(rows, "id long, toks array<string>, more string").repartition(3)
+    vocab = tokens.dictionary(frame.where("id is null or id < 70"), "toks").cache()
+    at = {r.token: r.id for r in vocab.collect()}
+    sent, work = spark.sparkContext.accumulator(0), tokens._distinct_elements
+
+    def counted(col):
+        def outer(batches, inner=work(col)):
+            for b in inner(batches):
+                sent.add(b.num_rows)
+                yield b
+
+        return outer
+
+    monkeypatch.setattr(tokens, "_distinct_elements", counted, raising=False)
+    for limit in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        ids = tokens.encode(frame, "toks", vocab)
+        want = [(i, None if t is None else [at.get(x, -1) for x in t], t, m) for i, t, m in rows]
+        assert sorted(map(str, ((r.id, r.ids, r.toks, r.more) for r in ids.collect()))) == sorted(map(str, want)) and ids.columns == ["id", "toks", "more", "ids"]
+        back = tokens.decode(ids.select("id", "ids"), "ids", vocab, "toks")
+        got = sorted(map(str, ((r.id, r.toks) for r in back.collect())))
+        assert got == sorted(map(str, ((i, None if t is None else [x if x in at else "<unk>" for x in t]) for i, t, _ in rows)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert 0 < sent.value <= 6 * 3 * 13  # six lookups of the distinct words of three parts; by row there are some 120 each
+    monkeypatch.setattr(tokens, "CHUNK_ELEMENTS", 3, raising=False)
+    assert sorted(map(str, ((r.id, r.ids, r.toks, r.more) for r in tokens.encode(frame, "toks", vocab).collect()))) == sorted(map(str, want))
+    assert tokens.encode(frame.where("false"), "toks", vocab).count() == 0
