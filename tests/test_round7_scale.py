@@ -5,12 +5,13 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mnemo.functions.bleu import row_bleu
 from mnemo import session
-from mnemo.operators import completion, corruption, pipeline, tokens
+from mnemo.operators import completion, corruption, matching, pipeline, tokens
 from mnemo.operators.completion import greedy_walk, stored_model, stored_texts, train_next_token
 from mnemo.operators.divergence import prefix_scores
 from mnemo.sources import io
@@ -196,3 +197,19 @@ def test_elements_are_looked_up_once_a_chunk(spark, monkeypatch):
     monkeypatch.setattr(tokens, "CHUNK_ELEMENTS", 3, raising=False)
     assert sorted(map(str, ((r.id, r.ids, r.toks, r.more) for r in tokens.encode(frame, "toks", vocab).collect()))) == sorted(map(str, want))
     assert tokens.encode(frame.where("false"), "toks", vocab).count() == 0
+
+
+@pytest.mark.parametrize("wait", [1, 40, 250_000])
+def test_found_cells_wait_to_be_sorted(monkeypatch, wait):
+    monkeypatch.setattr(matching, "WAIT_CELLS", wait, raising=False)
+    r, n, k = np.random.default_rng(4), 5, 3
+    sims = np.round(r.integers(0, 12, (n, 400)) / 12, 9)
+    ids = r.permutation(400)
+    best, sorts, lexsort = matching._Best(n, k, 9), [], np.lexsort
+    monkeypatch.setattr(matching.np, "lexsort", lambda *a: sorts.append(1) or lexsort(*a))
+    for at in range(0, 400, 2):
+        best.add(ids[at:at + 2], sims[:, at:at + 2])
+    best.settle()
+    got = [[(float(s), int(i)) for row, i, s in zip(best.rows, best.ids, best.sims) if row == x] for x in range(n)]
+    assert got == [sorted(zip(sims[x].tolist(), ids.tolist()), key=lambda c: (-c[0], c[1]))[:k] for x in range(n)]
+    assert len(sorts) <= -(-n * 400 // max(wait, n * k)) + 1
